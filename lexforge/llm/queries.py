@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_table
+from .decontaminate import contamination_table
 from .mixing import mix_table
 from .quality import quality_table
+from .simhash import simhash_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_table(_table(spark, sf_dir, "conversations"))
 
@@ -27,8 +33,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_table(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chat_format, op4_mix_sources, op7_quality_rules)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_mix_sources, op7_quality_rules, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

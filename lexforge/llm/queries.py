@@ -11,6 +11,8 @@ from .decontaminate import contamination_table
 from .mixing import mix_table
 from .quality import quality_table
 from .simhash import simhash_table
+from .units import unit_table
+from .winnow import line_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +35,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(_table(spark, sf_dir, "documents"))
 
 
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_table(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_table(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_table(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_mix_sources, op7_quality_rules, op9_simhash)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_mix_sources, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

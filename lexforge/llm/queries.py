@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_table
 from .decontaminate import contamination_table
 from .mixing import mix_table
+from .pii import find_pii
 from .quality import quality_table
 from .simhash import simhash_table
 from .units import unit_table
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_mix_sources, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mix_sources, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

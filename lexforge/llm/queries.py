@@ -11,6 +11,7 @@ from .decontaminate import contamination_table
 from .mixing import mix_table
 from .pii import find_pii
 from .quality import quality_table
+from .secrets import find_secrets
 from .simhash import simhash_table
 from .units import unit_table
 from .winnow import line_table
@@ -36,6 +37,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mix_sources, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mix_sources, op6_secrets, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

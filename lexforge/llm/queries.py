@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_table
 from .decontaminate import contamination_table
+from .html_crf import extract_table
 from .mixing import mix_table
 from .pii import find_pii
 from .quality import quality_table
@@ -37,6 +38,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_table(_table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mix_sources, op6_secrets, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mix_sources, op5_html_extract, op6_secrets, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

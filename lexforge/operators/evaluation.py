@@ -168,7 +168,8 @@ def grouped_cv(ranks: DataFrame, group: str, folds: int = 5, repeats: int = 20,
 def plateau(scores: DataFrame, width: float = 0.005) -> DataFrame:
     """STT-04: the settings within ``width`` of the best MRR, and their place."""
     w = Window.partitionBy(F.lit(0))
-    return scores.withColumn("place", F.row_number().over(w.orderBy(F.col("mrr10").desc(), F.col("r10").desc(), "w_id"))).filter(F.col("mrr10") >= F.max("mrr10").over(w) - width)
+    placed = scores.withColumn("place", F.row_number().over(w.orderBy(F.col("mrr10").desc(), F.col("r10").desc(), "w_id"))).withColumn("best", F.max("mrr10").over(w))
+    return placed.filter(F.col("mrr10") >= F.col("best") - width).drop("best")
 
 
 def paired_bootstrap(pairs: DataFrame, a: Column, b: Column, rounds: int = 5000, seed: int = 4721) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,11 +61,96 @@ def term_weights(docs: DataFrame, key: str = "doc_ord") -> DataFrame:
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = X.CANDIDATES, key: str = "doc_ord", digits: int | None = None) -> DataFrame:
-    """RET-09: the best ``k`` documents of each query with a positive score, ties in document order."""
-    scored = bm25_scores(docs, queries, key).filter("score > 0")
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    return ranked(scored, ["query_id"], "score", key).filter(F.col("rank") <= k)
+    """RET-09: the best ``k`` documents of each query with a positive score, ties in document order.
+
+    The same scores as ``bm25_scores``, but without a row for each (query, document, term): see ``keyword_topk``.
+    """
+    stats = lengths(docs, key=key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    raw = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    # each document adds a term once, so counting documents is a map-side sum
+    frequencies = docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", raw.alias("raw"))
+
+    def idf_of(vocabulary: list[str]) -> np.ndarray:
+        wanted = docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string").withColumn("q", F.lit(True))
+        got = frequencies.join(F.broadcast(wanted), "term", "left").agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("q"), F.struct("term", "raw"))).alias("rows")).first()
+        known = {r["term"]: r["raw"] for r in got["rows"]}
+        values = np.array([known.get(t, 0.0) for t in vocabulary])
+        return np.where(values < 0, X.BM25_EPSILON * (got["mean"] or 0.0), values)
+
+    def weigh(tf: np.ndarray, dl: int, idf: np.ndarray) -> np.ndarray:
+        return idf * tf * (X.BM25_K1 + 1) / (tf + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * dl / avgdl))
+
+    return keyword_topk(docs, queries, weigh, idf_of, k, key, digits)
+
+
+def terms_of(text: str) -> list[str]:
+    """TXT-04 for use inside Python workers; equal to ``tokenize``."""
+    words = _TOKEN.findall(text.translate(_TURKISH).lower())
+    return [w if w.isdecimal() else w[: X.STEM] for w in words]
+
+
+_TOKEN, _TURKISH = re.compile(X.TOKEN), str.maketrans("İI", "iı")
+Weigh = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
+
+
+def keyword_topk(
+    docs: DataFrame, queries: DataFrame, weigh: Weigh, term_values: Callable[[list[str]], np.ndarray] | None = None, k: int = X.CANDIDATES, key: str = "doc_ord", digits: int | None = None, count_query_terms: bool = True
+) -> DataFrame:
+    """Top-k of any score that is a sum over query terms of a weight of (tf, document length, term value).
+
+    Joining postings to query terms makes a row for each (query, document, shared term), most of them for common words. Here each task scores its
+    documents against a (terms x queries) matrix and keeps k rows for each query, so only those are shuffled. Queries are collected in slices
+    whose matrix has at most ``QUERY_CELLS`` cells; their number and the documents' are not limited.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size(tokenize(F.col("text")))).alias("t")).first()
+    slices = max(1, math.ceil(math.sqrt((size["n"] or 0) * (size["t"] or 0) / (4 * QUERY_CELLS))))
+    out = None
+    for i in range(slices):
+        part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        rows = [(r["query_id"], terms_of(r["text"] or "")) for r in part.select("query_id", "text").collect()]
+        vocabulary = sorted({t for _, ts in rows for t in ts})
+        index = {t: j for j, t in enumerate(vocabulary)}
+        matrix = np.zeros((len(vocabulary), len(rows)))
+        for j, (_, ts) in enumerate(rows):
+            for t in ts:
+                matrix[index[t], j] = matrix[index[t], j] + 1 if count_query_terms else 1
+        values = term_values(vocabulary) if term_values and vocabulary else np.ones(len(vocabulary))
+        ids = np.array([q for q, _ in rows], np.int64)
+        kind = docs.schema[key].dataType.simpleString()
+        found = docs.select(key, "text").mapInPandas(_score_batches(ids, index, matrix, values, weigh, k, key, digits), f"query_id long, {key} {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, ["query_id"], "score", key).filter(F.col("rank") <= k)
+
+
+def _score_batches(ids, index, matrix, values, weigh: Weigh, k: int, key: str, digits: int | None) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf) or not len(ids) or not index:
+                continue
+            scores = np.zeros((len(ids), len(pdf)))
+            for d, text in enumerate(pdf["text"].fillna("")):
+                terms = terms_of(text)
+                counts: dict[int, int] = {}
+                for t in terms:
+                    if (j := index.get(t)) is not None:
+                        counts[j] = counts.get(j, 0) + 1
+                if counts:
+                    at = np.fromiter(counts, np.int64, len(counts))
+                    scores[:, d] = weigh(np.fromiter(counts.values(), np.float64, len(counts)), len(terms), values[at]) @ matrix[at]
+            if digits is not None:
+                scores = np.round(scores, digits)
+            yield _best(ids, pdf[key].to_numpy(), scores, k, key)
+
+    return run
+
+
+def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int, key: str) -> pd.DataFrame:
+    """The ``k`` best positive cells of each row of (queries x documents), ties by key."""
+    order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
+    take = np.take_along_axis(scores, order, axis=1)
+    rows = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: keys[order].ravel(), "score": take.ravel()})
+    return rows[rows["score"] > 0]
 
 
 def dense_topk(points: DataFrame, queries: DataFrame, k: int = X.CANDIDATES, key: str = "vec_id", where: Column | None = None) -> DataFrame:
@@ -112,6 +199,40 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int = X.CANDIDATES, ke
     return ranked(scored, ["query_id"], "score", key).filter(F.col("rank") <= k)
 
 
+def sparse_topk_vectors(points: DataFrame, queries: DataFrame, k: int = X.CANDIDATES, key: str = "doc_ord", digits: int | None = None) -> DataFrame:
+    """RET-05 for vectors stored as arrays (key, tokens, weights) and (query_id, tokens, weights): scored where they lie, like ``keyword_topk``."""
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("t")).first()
+    slices = max(1, math.ceil(math.sqrt((size["n"] or 0) * (size["t"] or 0) / (4 * QUERY_CELLS))))
+    out = None
+    for i in range(slices):
+        rows = (queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)).select("query_id", "tokens", "weights").collect()
+        index: dict = {}
+        for r in rows:
+            for t in r["tokens"]:
+                index.setdefault(t, len(index))
+        matrix = np.zeros((len(index), len(rows)))
+        for j, r in enumerate(rows):
+            for t, w in zip(r["tokens"], r["weights"]):
+                matrix[index[t], j] += w
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+
+        def run(batches: Iterator[pd.DataFrame], index=index, matrix=matrix, ids=ids) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf) or not len(ids) or not index:
+                    continue
+                scores = np.zeros((len(ids), len(pdf)))
+                for d, (tokens, weights) in enumerate(zip(pdf["tokens"], pdf["weights"])):
+                    at = [(index[t], w) for t, w in zip(tokens, weights) if t in index]
+                    if at:
+                        scores[:, d] = np.array([w for _, w in at]) @ matrix[[j for j, _ in at]]
+                yield _best(ids, pdf[key].to_numpy(), np.round(scores, digits) if digits is not None else scores, k, key)
+
+        kind = points.schema[key].dataType.simpleString()
+        found = points.select(key, "tokens", "weights").mapInPandas(run, f"query_id long, {key} {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, ["query_id"], "score", key).filter(F.col("rank") <= k)
+
+
 def sparse_weights(tokens: DataFrame, key: str = "doc_ord") -> DataFrame:
     """RET-02: learned-sparse weights (key, token, weight) from per-token scores: only positive ones, the largest for each token."""
     return tokens.filter("weight > 0").groupBy(key, "token").agg(F.max("weight").alias("weight"))

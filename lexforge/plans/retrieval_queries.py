@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import fixed as X
-from lexforge.functions.text import tokenize
 from lexforge.operators import evaluation as E
 from lexforge.operators import fusion as U
 from lexforge.operators import retrieval as R
@@ -44,11 +46,8 @@ def bm25_leg(spark, sf_dir, k: int = X.CANDIDATES) -> DataFrame:
 
 
 def overlap_leg(spark, sf_dir, k: int = X.CANDIDATES) -> DataFrame:
-    docs, queries = docs_and_queries(spark, sf_dir)
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    hits = R.postings(docs, key="doc_id").join(wanted, "term").join(R.lengths(docs, key="doc_id"), "doc_id")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.count("*") / F.sqrt(F.max("dl").cast("double")), DIGITS).alias("score"))
-    return R.ranked(scored, ["query_id"], "score", "doc_id").filter(F.col("rank") <= k)
+    """A second leg that both engines can compute: shared distinct terms over the root of the document's length."""
+    return R.keyword_topk(*docs_and_queries(spark, sf_dir), lambda tf, dl, _: np.ones(len(tf)) / math.sqrt(dl), None, k, "doc_id", DIGITS, count_query_terms=False)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -113,12 +112,34 @@ def dense_topk_filtered(spark, sf_dir):
 def sparse_topk(spark, sf_dir):
     """RET-02, RET-05: sparse vectors of log counts."""
     docs, queries = docs_and_queries(spark, sf_dir)
+    def vectors_of(df: DataFrame, key: str) -> DataFrame:
+        rows = R.sparse_weights(R.postings(df, key=key).select(key, F.col("term").alias("token"), F.log1p(F.col("tf").cast("double")).alias("weight")), key)
+        return rows.groupBy(key).agg(F.collect_list(F.struct("token", "weight")).alias("v")).select(key, F.col("v.token").alias("tokens"), F.col("v.weight").alias("weights"))
+
+    return plain(R.sparse_topk_vectors(vectors_of(docs, "doc_id"), vectors_of(queries, "query_id"), 10, "doc_id", DIGITS))
+
+
+@C.add(
+    f"""{_TF}, w AS (SELECT doc_id, term, ln(1 + tf) AS weight FROM tf), qw AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT query_id, doc_id, round(sum(weight * ln(1 + n)), {DIGITS}) AS score FROM w JOIN qw USING (term) GROUP BY ALL)
+        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
+)
+def sparse_topk_join(spark, sf_dir):
+    """RET-05 for vectors stored as rows: a join on the token."""
+    docs, queries = docs_and_queries(spark, sf_dir)
     weigh = lambda df, key: R.sparse_weights(R.postings(df, key=key).select(key, F.col("term").alias("token"), F.log1p(F.col("tf").cast("double")).alias("weight")), key)
     hits = weigh(docs, "doc_id").join(weigh(queries, "query_id").withColumnRenamed("weight", "w"), "token")
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), DIGITS).alias("score"))
     return plain(R.ranked(scored, ["query_id"], "score", "doc_id").filter("rank <= 10"))
 
 
+@C.add(f"{_BM25.replace('QUALIFY rank <= 50', '')} SELECT query_id, doc_id, score FROM bm WHERE score > 0")
+def bm25_scores(spark, sf_dir):
+    """RET-07 as a join: every positive score."""
+    docs, queries = docs_and_queries(spark, sf_dir)
+    return R.bm25_scores(docs, queries, "doc_id").select("query_id", "doc_id", F.round("score", DIGITS).alias("score")).filter("score > 0")
+
+
 _MM = "(score - min(score) OVER (PARTITION BY query_id)) / coalesce(nullif(max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id), 0), 1)"
 
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.functions import fixed as X
+from lexforge.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, whose rows cost enough to be worth spreading over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def quoted(value: Any) -> str:
     if value is None:
         return "NULL"

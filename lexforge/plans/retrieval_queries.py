@@ -14,7 +14,7 @@ from lexforge.operators import fusion as U
 from lexforge.operators import retrieval as R
 from lexforge.operators.windows import first_groups, rank_of
 
-from .base import TOKENS, catalog, frame, table, values
+from .base import TOKENS, catalog, frame, table, texts, values
 
 C = catalog()
 DIGITS = 6
@@ -37,7 +37,7 @@ _LEGS = f"""{_BM25},
 
 
 def docs_and_queries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return texts(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def bm25_leg(spark, sf_dir, k: int = X.CANDIDATES) -> DataFrame:
@@ -63,14 +63,14 @@ def bm25_top10(spark, sf_dir):
 @C.add(f"{_TF} SELECT doc_id, CAST(count(*) AS BIGINT) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, CAST(max(tf) AS BIGINT) AS top FROM tf GROUP BY doc_id")
 def bm25_postings(spark, sf_dir):
     """RET-06."""
-    p = R.postings(table(spark, sf_dir, "documents"), key="doc_id")
+    p = R.postings(texts(spark, sf_dir), key="doc_id")
     return p.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("top"))
 
 
 @C.add(f"{_TF} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 9) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
     """RET-08."""
-    return R.term_weights(table(spark, sf_dir, "documents"), "doc_id").select("term", "df", F.round("idf", 9).alias("idf"))
+    return R.term_weights(texts(spark, sf_dir), "doc_id").select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
@@ -263,7 +263,7 @@ def metrics_grouping_sets(spark, sf_dir):
 )
 def tolerance_levels(spark, sf_dir):
     """EVA-06, EVA-07: the same document, language or source counts."""
-    right, docs = gold(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    right, docs = gold(spark, sf_dir), texts(spark, sf_dir).select("doc_id", "lang", "source")
     wide = right.join(docs, "doc_id")
     found = bm25_leg(spark, sf_dir).join(docs, "doc_id").join(right, ["query_id", "doc_id"], "left")
     for c in ("lang", "source"):
@@ -299,7 +299,7 @@ def rerank_sweep(spark, sf_dir):
 )
 def two_stage(spark, sf_dir):
     """FUS-10, WIN-05, EVA-08: documents of the first three sources of each ranking."""
-    found = bm25_leg(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    found = bm25_leg(spark, sf_dir).join(texts(spark, sf_dir).select("doc_id", "source"), "doc_id")
     return first_groups(found, "query_id", "source", "rank", 3).select("query_id", "doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 

@@ -9,7 +9,7 @@ from lexforge.functions import status as S
 from lexforge.functions import text as T
 from lexforge.operators import corpus, evaluation, structure
 
-from .base import TOKENS, TR_LOWER, WORDS, catalog, frame, table, values
+from .base import TOKENS, TR_LOWER, WORDS, catalog, frame, texts, values
 
 C = catalog()
 
@@ -39,7 +39,7 @@ _DASHED = f"translate({{0}}, '{X.DASHES}{X.SOFT_HYPHEN}', '{'-' * len(X.DASHES)}
 def normalize_text(spark, sf_dir):
     """TXT-01 over whole documents."""
     x = T.normalize_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(x, 256).alias("digest"), F.length(x).cast("long").alias("n"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(x, 256).alias("digest"), F.length(x).cast("long").alias("n"))
 
 
 @C.add(
@@ -47,7 +47,7 @@ def normalize_text(spark, sf_dir):
 )
 def tokenize_terms(spark, sf_dir):
     """TXT-04 over whole documents."""
-    w = table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("w"))
+    w = texts(spark, sf_dir).select("doc_id", T.tokenize(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_terms"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.sha2(F.array_join("w", " "), 256).alias("digest"))
 
 
@@ -60,7 +60,7 @@ def tokenizer_variants(spark, sf_dir):
     """TXT-05: vocabulary of a document under three tokenizers."""
     n = lambda c: F.size(F.array_distinct(c)).cast("long")
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", n(T.tokenize(text, stem=None)).alias("turkish"), n(T.tokenize(text, "plain", None)).alias("plain"), n(T.tokenize(text, stem=4)).alias("stem4"))
+    return texts(spark, sf_dir).select("doc_id", n(T.tokenize(text, stem=None)).alias("turkish"), n(T.tokenize(text, "plain", None)).alias("plain"), n(T.tokenize(text, stem=4)).alias("stem4"))
 
 
 NUMBERS = [(1, "Geçici 1"), (2, "0141"), (3, "123/a"), (4, "Mükerrer 298"), (5, "Ek  7"), (6, "5/B-x"), (7, "000"), (8, " 0213 "), (9, "tek madde")]
@@ -112,7 +112,7 @@ def gazette_fields(spark, sf_dir):
 def text_measures(spark, sf_dir):
     """TXT-28, TXT-36, COR-02."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.upper_ratio(text), 6).alias("ratio"), corpus.is_artefact(text).alias("artefact"), T.stratum(F.length(text)).alias("stratum"))
+    return texts(spark, sf_dir).select("doc_id", F.round(T.upper_ratio(text), 6).alias("ratio"), corpus.is_artefact(text).alias("artefact"), T.stratum(F.length(text)).alias("stratum"))
 
 
 MARKED = [(1, "Metin [1] devam  eder [12] ."), (2, "işaretsiz  metin"), (3, "[3]"), (4, "a [x] b"), (5, None)]
@@ -129,7 +129,7 @@ def strip_footnote_marks(spark, sf_dir):
 )
 def content_word_sets(spark, sf_dir):
     """TXT-37."""
-    w = table(spark, sf_dir, "documents").select("doc_id", T.content_words(F.col("text")).alias("w"))
+    w = texts(spark, sf_dir).select("doc_id", T.content_words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join(F.sort_array("w"), " "), 256).alias("digest"))
 
 
@@ -231,7 +231,7 @@ def inherited_paths(spark, sf_dir):
 )
 def html_strip(spark, sf_dir):
     """HTM-01 over whole pages."""
-    x = table(spark, sf_dir, "pages").select("page_id", structure.strip_html("html").alias("x"))
+    x = texts(spark, sf_dir, "pages").select("page_id", structure.strip_html("html").alias("x"))
     return x.select("page_id", F.sha2("x", 256).alias("digest"), F.size(F.split("x", X.PARAGRAPH)).cast("long").alias("n_blocks"))
 
 
@@ -240,5 +240,5 @@ def html_strip(spark, sf_dir):
 )
 def structure_survey(spark, sf_dir):
     """GRP-03: headings of three kinds by language."""
-    marks = table(spark, sf_dir, "documents").select("lang", F.explode(evaluation.structure_marks(F.col("text"))).alias("mark", "n"))
+    marks = texts(spark, sf_dir).select("lang", F.explode(evaluation.structure_marks(F.col("text"))).alias("mark", "n"))
     return marks.filter(F.col("mark").isin("sira_N_nokta", "fikra_paren", "Madde_N_tire")).groupBy("lang", "mark").agg(F.sum("n").cast("long").alias("n"))

@@ -1,10 +1,10 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and the spreading of small inputs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -18,3 +18,14 @@ def shared_root(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if its scan has fewer splits than there are cores.
+
+    A small table in one file would keep all work on one core. Tables that already have a split for each core, which is every large one, are left as they
+    are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

@@ -7,39 +7,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm.common import shared_root
 from lexforge.llm.decontaminate import decontaminate
 from lexforge.llm.mixing import mix_filter
 from lexforge.llm.quality import quality_filter
 from lexforge.llm.simhash import simhash_dedup
 from lexforge.llm.winnow import dedup_lines
+from lexforge.sources.shared import shared_root, spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's and source's robust scatter."""
-    return quality_filter(docs)
+    return quality_filter(spread(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines; those of which nothing is left go."""
-    return dedup_lines(docs)
+    return dedup_lines(spread(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest doc_id."""
-    return simhash_dedup(docs)
+    return simhash_dedup(spread(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spread(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with ``size``, ``target`` (words of its source) and ``taken`` (words)."""
-    return mix_filter(docs)
+    return mix_filter(spread(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexforge.sources.shared import spread
+
 from .chat import chat_table
 from .decontaminate import contamination_table
 from .html_crf import extract_table
@@ -19,7 +21,7 @@ from .winnow import line_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contamination_table(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ equal length. Sainte-Lague gives each source its number of blocks: seats go to t
 ranked (about three rows for each source); the seats above the upper divisor are counted in closed form. The order
 of seats deals them to shards, so that every shard has integer quotas close to the weights.
 
-Selection: a source with quota ``q`` of ``n`` blocks takes whole passes ``q div n``, and in the last pass the blocks
-``b`` with ``(a b + c) mod n < q mod n``: a seeded permutation in closed form, so no block table is ever made.
-The words of a document in the chosen blocks are its share.
+Selection: a quota of ``q`` blocks is ``q * block`` words. Whole passes over the source's line come first; of the words left, whole
+blocks are taken in the order of a seeded permutation ``(a b + c) mod n``, and the first words of the next block make up the rest. The
+permutation is in closed form, so no block table is ever made. The words of a document in the chosen blocks are its share, and a
+source's shares add up to its quota exactly.
 
 Scale: positions on the line come from a two-level prefix sum, totals of hash buckets and then a running sum inside
 each bucket, so a source with a third of all documents is spread over ``BUCKETS`` tasks' worth of groups. Only tables
@@ -114,15 +115,19 @@ def shard_quotas(quota: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFram
     return cut.select("source", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("long").alias("blocks"))
 
 
-def _chosen_words(start: Column, end: Column, block: Column, n: Column, part: Column) -> Column:
-    """Words of [start, end) in the blocks that the seeded permutation puts first."""
+def _chosen_words(start: Column, end: Column, block: Column, full: Column, words: Column) -> Column:
+    """Words of [start, end) among the ``words`` that the seeded permutation of the ``full`` whole blocks takes first.
+
+    When all whole blocks are taken, what is left comes from the short block at the end of the line.
+    """
+    n = F.greatest(full, F.lit(1))
     prime = F.coalesce(*[F.when(n % p != 0, F.lit(p)) for p in PRIMES])
-    inside = lambda b: F.pmod(F.pmod(b, n) * F.pmod(prime, n) + F.pmod(F.lit(SEED), n), n) < part
-    overlap = lambda b: F.least(end, (b + 1) * block) - F.greatest(start, b * block)
+    place = lambda b: F.when(b < full, F.pmod(F.pmod(b, n) * F.pmod(prime, n) + F.pmod(F.lit(SEED), n), n)).otherwise(full)
+    # the block in place i takes what is left after i blocks, up to a block
+    length = lambda b: F.greatest(F.lit(0), F.least(block, words - place(b) * block))
+    overlap = lambda b: F.greatest(F.lit(0), F.least(end, b * block + length(b)) - F.greatest(start, b * block))
     return F.aggregate(
-        F.sequence(F.floor(start / block).cast("long"), F.floor((end - 1) / block).cast("long")),
-        F.lit(0).cast("long"),
-        lambda a, b: a + F.when(inside(b), overlap(b)).otherwise(F.lit(0).cast("long")),
+        F.sequence(F.floor(start / block).cast("long"), F.floor((end - 1) / block).cast("long")), F.lit(0).cast("long"), lambda a, b: a + overlap(b).cast("long")
     )
 
 
@@ -140,7 +145,9 @@ def mix_sizes(rows: DataFrame) -> DataFrame:
     plan = checked_broadcast(quota.withColumnRenamed("source", "__t"), n_sources)
     order = Window.partitionBy("source", "__b").orderBy("__o", "doc_id", "size", "__h", "__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("__from") + F.col("__end") - F.col("size")
-    part = F.pmod(F.col("q"), F.col("n"))
+    words = F.least(F.col("q") * F.col("block"), F.col("source_size") * REPEAT)
+    passes = F.floor(words / F.col("source_size")).cast("long")
+    full = F.floor(F.col("source_size") / F.col("block")).cast("long")
     return (
         placed.withColumn("__end", F.sum("size").over(order))
         .join(offsets, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")))
@@ -149,7 +156,7 @@ def mix_sizes(rows: DataFrame) -> DataFrame:
             "taken",
             F.when(
                 F.col("size") > 0,
-                F.floor(F.col("q") / F.col("n")).cast("long") * F.col("size") + _chosen_words(start, start + F.col("size"), F.col("block"), F.col("n"), part),
+                passes * F.col("size") + _chosen_words(start, start + F.col("size"), F.col("block"), full, words - passes * F.col("source_size")),
             ).otherwise(F.lit(0).cast("long")),
         )
         .select("doc_id", "source", "size", "__h", "__r", "source_size", "target", "taken")

@@ -174,8 +174,10 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int = X.CANDIDATES, key
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) if m.size else m
+    if not len(vectors):
+        return np.zeros((0, 1))
+    m = np.array(vectors.tolist(), np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
 
 def _batch_topk(ids: np.ndarray, q: np.ndarray, k: int, key: str) -> Callable:

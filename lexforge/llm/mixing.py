@@ -16,7 +16,7 @@ permutation is in closed form, so no block table is ever made. The words of a do
 source's shares add up to its quota exactly.
 
 Scale: positions on the line come from a two-level prefix sum, totals of hash buckets and then a running sum inside
-each bucket, so a source with a third of all documents is spread over ``BUCKETS`` tasks' worth of groups. Only tables
+each bucket, so a source with a third of all documents is spread over thousands of groups. Only tables
 with a row for each source (or source and bucket) meet in one place.
 
 Edge cases: null text has size 0 and is never taken; null source is a source of its own, last in order; repeated rows
@@ -34,7 +34,8 @@ from .common import WORD, checked_broadcast, materialize, row_hash, text_or_empt
 WEIGHTS = (1, 2, 3)
 REPEAT = 3
 SEED = 20_177
-BUCKETS = 4096
+#: Hexadecimal digits of the hash that name a document's bucket: 4,096 buckets of each source.
+BUCKET_DIGITS = 3
 #: Words of a block: never fewer than this, and so many that a corpus has at most 2**30 blocks.
 LEAST_BLOCK = 16
 SHARD_BLOCKS = 4096
@@ -133,8 +134,8 @@ def _chosen_words(start: Column, end: Column, block: Column, full: Column, words
 
 def mix_sizes(rows: DataFrame) -> DataFrame:
     """``rows`` of ``sizes`` with ``source_size``, ``target`` and ``taken``."""
-    h = F.xxhash64("doc_id", "size", F.lit(SEED))
-    placed = rows.withColumn("__o", h).withColumn("__b", F.pmod(F.xxhash64(h, F.lit(SEED)), F.lit(BUCKETS)))
+    h = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.lit(str(SEED))))
+    placed = rows.withColumn("__o", h).withColumn("__b", F.left("__o", F.lit(BUCKET_DIGITS)))
     in_bucket = placed.groupBy("source", "__b").agg(F.sum("size").alias("words"))
     by_source = Window.partitionBy("source")
     offsets = in_bucket.select(
@@ -164,8 +165,8 @@ def mix_sizes(rows: DataFrame) -> DataFrame:
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs``."""
-    return mix_sizes(materialize(sizes(docs))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, source for every row of ``docs``."""
+    return mix_sizes(materialize(sizes(docs))).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def mix_filter(docs: DataFrame) -> DataFrame:

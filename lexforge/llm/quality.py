@@ -227,7 +227,7 @@ def judge(stats: DataFrame, groups: DataFrame, scatter: DataFrame, n_groups: int
 def quality_table(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, kept, distance2."""
     stats = materialize(statistics(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "__q"))
-    return judge(stats, *estimates(stats)).select("doc_id", "__q.*", F.col("__kept").alias("kept"), F.round("__d2", 6).alias("distance2"))
+    return judge(stats, *estimates(stats)).select("doc_id", "__q.*", F.col("__kept").alias("kept"), F.round("__d2", 3).alias("distance2"))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from .chat import chat_table
 from .decontaminate import contamination_table
 from .html_crf import extract_table
 from .mixing import mix_table
+from .oracle import oracle_sql as oracle_sql
 from .pii import find_pii
 from .quality import quality_table
 from .secrets import find_secrets
@@ -66,7 +67,3 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mix_sources, op5_html_extract, op6_secrets, op7_quality_rules, op8_unit_dedup, op9_simhash, op10_line_dedup)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

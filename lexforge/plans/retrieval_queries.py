@@ -14,7 +14,7 @@ from lexforge.operators import fusion as U
 from lexforge.operators import retrieval as R
 from lexforge.operators.windows import first_groups, rank_of
 
-from .base import TOKENS, catalog, frame, table, texts, values
+from .base import TOKENS, catalog, expected, frame, table, texts, values
 
 C = catalog()
 DIGITS = 6
@@ -360,3 +360,38 @@ def weight_plateau(spark, sf_dir):
     """STT-04."""
     scores = swept_ranks(spark, sf_dir).groupBy("w_id").agg(*E.rank_metrics(F.col("hit_rank")))
     return E.plateau(scores).select("w_id", "mrr10", F.col("place").cast("long").alias("place"))
+
+
+@C.add(
+    f"""{_LEGS}, {_GOLD}, u AS (SELECT 'bm25' AS system, query_id, doc_id, rank FROM bm UNION ALL SELECT 'overlap', query_id, doc_id, rank FROM sp),
+        h AS (SELECT system, query_id, coalesce(min(rank) FILTER (WHERE gold.doc_id IS NOT NULL AND rank <= 10), 0) AS h FROM u LEFT JOIN gold USING (query_id, doc_id) WHERE query_id IN (SELECT query_id FROM gold) GROUP BY ALL)
+        SELECT system, {_METRICS} FROM h GROUP BY system"""
+)
+def ablation(spark, sf_dir):
+    """EVA-04: each leg alone."""
+    right = gold(spark, sf_dir)
+    union = bm25_leg(spark, sf_dir).withColumn("system", F.lit("bm25")).unionByName(overlap_leg(spark, sf_dir).withColumn("system", F.lit("overlap")))
+    judged = union.join(right.select("query_id").distinct(), "query_id", "left_semi").join(right, ["query_id", "doc_id"], "left")
+    ranks = judged.groupBy("system", "query_id").agg(F.coalesce(F.min(F.when(F.col("hit") & (F.col("rank") <= 10), F.col("rank"))), F.lit(0)).alias("hit_rank"))
+    return ranks.groupBy("system").agg(*E.rank_metrics(F.col("hit_rank")))
+
+
+LISTS_T = "query_id long, rank int, pair string, score double"
+OLD = [(q, i, f"p{i}", 0.5 if q == 3 else 1.0 - i / 10) for q in range(1, 6) for i in (1, 2)]
+NEW = [
+    (1, 1, "p1", 0.9, None), (1, 2, "p2", 0.8, None), (2, 1, "p1", 0.9, None), (2, 2, "p1", 0.8, None), (3, 1, "p2", 0.5, None), (3, 2, "p1", 0.5, None), (4, 1, "p9", 0.9, "p1"), (4, 2, "p2", 0.8, None),
+    (5, 1, "p9", 0.9, "p9"), (5, 2, "p2", 0.8, None),
+]
+
+
+@C.add(expected([(1, "same"), (2, "collision"), (3, "equal_scores"), (4, "stale"), (5, "different")], "query_id long, kind string"))
+def list_equivalence(spark, sf_dir):
+    """EVA-10."""
+    return E.compare_lists(frame(spark, OLD, LISTS_T), frame(spark, NEW, f"{LISTS_T}, truth string"))
+
+
+@C.add(f"{_BM25} SELECT query_id, doc_id, score FROM bm WHERE rank <= 10 AND query_id < 5")
+def checked_rows(spark, sf_dir):
+    """EVA-17: an invariant holds for every row that passes."""
+    rows = bm25_leg(spark, sf_dir, 10).filter("query_id < 5")
+    return E.check(rows, F.col("score") > 0, "a score is not positive").select("query_id", "doc_id", "score")

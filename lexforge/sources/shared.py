@@ -1,8 +1,12 @@
-"""The folder that the driver and all executors share, and the spreading of small inputs."""
+"""The folder that the driver and all executors share, the spreading of small inputs, and the shipping of this package."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +33,31 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if splits < cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; Python workers need not find it on their own paths."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="lexforge-ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def shipped(query: Callable) -> Callable:
+    """``query`` (spark, ...) that first makes sure that the executors have this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **kwargs):
+        ship(spark)
+        return query(spark, *args, **kwargs)
+
+    return run

@@ -12,31 +12,36 @@ from lexforge.llm.mixing import mix_filter
 from lexforge.llm.quality import quality_filter
 from lexforge.llm.simhash import simhash_dedup
 from lexforge.llm.winnow import dedup_lines
-from lexforge.sources.shared import shared_root, spread
+from lexforge.sources.shared import shared_root, shipped, spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's and source's robust scatter."""
     return quality_filter(spread(docs))
 
 
+@shipped
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines; those of which nothing is left go."""
     return dedup_lines(spread(docs))
 
 
+@shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest doc_id."""
     return simhash_dedup(spread(docs))
 
 
+@shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate(spread(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shipped
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with ``size``, ``target`` (words of its source) and ``taken`` (words)."""
     return mix_filter(spread(docs))

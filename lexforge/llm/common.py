@@ -52,6 +52,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, whatever characters their names hold."""
+    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def map_rows(df: DataFrame, run: Callable) -> DataFrame:
+    """``mapInArrow`` over all columns of ``df`` by place, since it cannot take names with dots."""
+    places = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return places.mapInArrow(run, places.schema).toDF(*df.columns)
+
+
 def row_hash(name: str = "text") -> Column:
     """Tells apart rows that share a doc_id; rows equal in both are one document to the operators."""
     return F.xxhash64(text_or_empty(name))

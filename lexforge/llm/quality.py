@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, let, materialize, native_words, text_or_empty
+from .common import checked_broadcast, let, materialize, native_words, same_columns, text_or_empty
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Production parameters.
@@ -219,7 +219,8 @@ def judge(stats: DataFrame, groups: DataFrame, scatter: DataFrame, n_groups: int
     return (
         stats.join(checked_broadcast(known, n_groups), (_name("lang") == F.col("__ka")) & (_name("source") == F.col("__kb")), "left")
         .withColumn("__d2", d2)
-        .withColumn("__kept", ~F.col("__q.base_failed") & (F.coalesce(F.col("__d2"), F.lit(0.0)) <= CUT))
+        # one expression: as a conjunction, its first part would be pushed below the join and computed from the text again
+        .withColumn("__kept", F.when(F.col("__q.base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("__d2"), F.lit(0.0)) <= CUT))
         .select(*[F.col(f"`{c}`") for c in names], "__d2", "__kept")
     )
 
@@ -233,6 +234,6 @@ def quality_table(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; texts are never shuffled."""
     stats = materialize(statistics(docs.select("lang", "source", "text")).select("lang", "source", "__q"))
-    return judge(statistics(docs), *estimates(stats)).filter("__kept").select(*docs.columns)
+    return same_columns(judge(statistics(docs), *estimates(stats)).filter("__kept"), docs)
 
 

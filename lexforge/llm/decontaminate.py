@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 WINDOW = 10
 SLICE_BYTES = 32 << 20
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; all else separates words.
@@ -98,7 +100,7 @@ def _slices(benchmark: DataFrame, limit: int):
         yield benchmark.sparkSession.sparkContext.broadcast([(r.i, bytes(r.t)) for r in part.collect()])
 
 
-def _texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
+def _texts(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[bytes]:
     for x in batch.column(column).cast(pa.binary()):
         yield x.as_py() or b""
 
@@ -159,18 +161,18 @@ def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a test string, with all their columns."""
     for shared in _slices(benchmark, slice_bytes):
-        docs = docs.mapInArrow(_clean(shared), docs.schema)
+        docs = map_rows(docs, _clean(shared, docs.columns.index("text")))
     return docs
 
 
-def _clean(shared) -> Callable:
+def _clean(shared, place: int) -> Callable:
     key = uuid.uuid4().hex
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _searchers(key, shared)
         for batch in batches:
             keep = []
-            for text in _texts(batch):
+            for text in _texts(batch, place):
                 words = split_words(text)
                 keep.append(not any(next(s.find(words, set()), None) for s in tables))
             yield batch.filter(pa.array(keep, pa.bool_()))

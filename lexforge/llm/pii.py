@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import Boosted
+from .common import map_rows
 
 Span = tuple[int, int, str]
 
@@ -276,8 +277,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("text")
             new = pa.array([clean(x.as_py()) for x in batch.column(i)], batch.schema.field(i).type)
             yield batch.set_column(i, batch.schema.field(i), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    i = docs.columns.index("text")
+    return map_rows(docs, run)

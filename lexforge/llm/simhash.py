@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash
+from .common import materialize, row_hash, same_columns
 from .components import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -164,4 +164,4 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     kept = prints.join(components(prints), "fp").groupBy("label").agg(F.min(rank).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__d"), F.col("k.h").alias("__k"))
     rows = docs.withColumn("__h", row_hash()).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.lit(0)))).filter("__n = 1")
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left_semi").select(*docs.columns)
+    return same_columns(rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left_semi"), docs)

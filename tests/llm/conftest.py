@@ -20,7 +20,7 @@ def prose(r: random.Random, n: int) -> str:
 
 @pytest.fixture(scope="session")
 def hard_rows() -> list[tuple]:
-    """(doc_id, text, lang, source, n_chars, n_words, key): the last two columns clash with operators' own names."""
+    """(doc_id, text, lang, source, n_chars, n_words, a.h): the last two columns clash with operators' own names or have a dot in theirs."""
     r = random.Random(11)
     texts: list[str | None] = [None, "", " \n\t ", "a", "A b", "one two three", "  x   y", "x" * 5000, prose(r, 6000)]
     texts += [prose(r, r.randint(5, 160)) for _ in range(40)]
@@ -31,7 +31,7 @@ def hard_rows() -> list[tuple]:
     return rows
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, `a.h` string"
 
 
 @pytest.fixture(scope="session")

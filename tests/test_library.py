@@ -81,6 +81,23 @@ def test_paged_source(spark, monkeypatch):
     assert sorted(json.loads(r.value)["id"] for r in rows) == list(range(7))
 
 
+def test_cache_updates_fetch_only_what_is_missing(spark, tmp_path):
+    import base64
+
+    from lexforge.sources import fetch
+
+    ids = spark.createDataFrame([("1",), ("2",), ("3",)], "mevzuat_id string")
+
+    def post(_, payload):
+        key = payload["data"]["id"]
+        return 200, {}, {"data": {"content": None if key == "3" else base64.b64encode(f"<p>ş{key}</p>".encode()).decode()}}
+
+    go = lambda rows: fetch.update_cache(rows, "u", f"{tmp_path}/pages", f"{tmp_path}/none", post, 2)
+    assert (go(ids.limit(1)), go(ids), go(ids)) == (1, 1, 0)
+    assert sorted(r.content for r in spark.read.parquet(f"{tmp_path}/pages").collect()) == ["<p>ş1</p>", "<p>ş2</p>"]
+    assert [r.mevzuat_id for r in spark.read.parquet(f"{tmp_path}/none").collect()] == ["3"]
+
+
 def test_caches_and_corpus_round_trip(spark, tmp_path):
     (tmp_path / "ids.txt").write_text("1234\t100\tÖrnek Kanunu\n1234\t100\tYinelenen\n77\t200\tEksik\n", encoding="utf-8")
     (tmp_path / "html_100.html").write_text(LAW_HTML, encoding="utf-8")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import relational_queries, retrieval_queries, service_queries, structure_queries, text_queries
+from . import relational_queries, retrieval_queries, service_queries, source_queries, structure_queries, text_queries
 from .base import Query
 
-MODULES = [text_queries, retrieval_queries, relational_queries, structure_queries, service_queries]
+MODULES = [text_queries, retrieval_queries, relational_queries, structure_queries, service_queries, source_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -173,7 +173,7 @@ def wsum_fusion(spark, sf_dir):
 
 @C.add(_fused_sql(RRF.format("1.0::DOUBLE", "1.0::DOUBLE")))
 def rrf_fusion(spark, sf_dir):
-    """FUS-03."""
+    """FUS-03, RET-12."""
     return plain(U.rrf(legs(spark, sf_dir), None, "doc_id", digits=DIGITS))
 
 

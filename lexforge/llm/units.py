@@ -70,7 +70,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs to remove: doc_id, h, start, end, n_units, n_words, first_doc_id (who keeps the run's first unit)."""
     every = materialize(units(docs))
     rank = F.struct("doc_id", "h", "i")
-    first = every.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first <> last").select("d1", "d2", "first")
+    # a table of its own: with the aggregation inside the join's stage, a hot digest could not be split
+    first = materialize(every.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first"))
     later = every.join(first, ["d1", "d2"]).filter(rank > F.col("first")).select("doc_id", "h", "i", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"))
     # rows equal in doc_id and text have the same units; one of each counts
     later = later.groupBy("doc_id", "h", "i").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "first_doc_id")])
@@ -100,7 +101,7 @@ def without(text: Column, spans: Column) -> Column:
 
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeats cut out of ``text``, and ``removed``: the spans they had in the original text."""
-    spans = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__d"), "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("__s"))
+    spans = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("__s"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "removed")]
-    joined = docs.withColumn("__h", row_hash()).join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("h")), "left")
+    joined = docs.withColumn("__h", row_hash()).join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left")
     return joined.select(*rest, F.when(F.col("__s").isNull(), F.col("text")).otherwise(without(text_or_empty(), F.col("__s"))).alias("text"), F.col("__s").alias("removed"))

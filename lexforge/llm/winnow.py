@@ -60,11 +60,12 @@ def repeated_runs(docs: DataFrame, k: int = LINES) -> DataFrame:
     """Runs to delete: doc_id, h, start_line, end_line (both included, of the original text), first_doc_id, first_line."""
     every = materialize(windows(docs, k))
     rank = F.struct("doc_id", "h", "i")
-    shared = every.filter("new").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    shared = materialize(every.filter("new").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
     near = every.join(shared, "a", "left_semi")
-    first = near.groupBy("a", "d").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.min_by("l0", rank).alias("first_line")).filter("first <> last")
+    # tables of their own: with an aggregation inside a join's stage, a hot fingerprint could not be split
+    first = materialize(near.groupBy("a", "d").agg(F.min(rank).alias("first"), F.min_by("l0", rank).alias("first_line"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = (
-        near.join(first.drop("last"), ["a", "d"])
+        near.join(first, ["a", "d"])
         .filter(rank > F.col("first"))
         .groupBy("doc_id", "h", "i")
         .agg(F.first("l0").alias("l0"), F.first("l1").alias("l1"), F.first("first.doc_id").alias("first_doc_id"), F.first("first_line").alias("first_line"))

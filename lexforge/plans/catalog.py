@@ -1,4 +1,4 @@
-"""All queries on the reference's operators and the SQL they agree with."""
+"""All queries on the library's operators and the SQL they agree with."""
 
 from __future__ import annotations
 

@@ -35,7 +35,7 @@ def write_points(points: DataFrame, path: str, batch: int = 256) -> int:
 
 
 def embed_job(corpus: DataFrame, embed: Callable[[str], Column], path: str, limit: int | None = None) -> None:
-    """SNK-03: text to vectors with the payload fields; ``limit`` is the reference's trial mode."""
+    """SNK-03: text to vectors with the payload fields; ``limit`` is a trial mode."""
     rows = corpus if limit is None else corpus.limit(limit)
     rows.select(F.col("id").alias("madde_id"), embed("text").alias("dense"), *[f"metadata.{c}" for c in X.PAYLOAD]).write.mode("overwrite").parquet(path)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PAGES, SEED, STEPS = 350, 4451, 160
+PAGES, SEED, STEPS = 400, 4451, 160
 
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul caption head".split()
@@ -238,6 +238,8 @@ def features(text: str, stack: list[tuple[str, frozenset[str]]], linked: float)
     for k, words in SAYS.items():
         if any(w in low for w in words):
             out[f"says {k}"] = 1.0
+            if "deepest=content" not in out:
+                out[f"says {k} outside"] = 1.0
     out["digits"] = min(1.0, sum(c.isdigit() for c in text[:200]) / 40)
     return out
 
@@ -329,6 +331,11 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     a, b = wrap(("article", "article", "main", "div", "section"), ("content", "article", "post", "entry-content", "story-body", "main"), 0.5)
     if a.startswith("<section>"):
         a = '<section class="content">'
+    bare = r.random()
+    if bare < 0.10:  # no container, or one whose name says nothing
+        a, b = "", ""
+    elif bare < 0.18:
+        a, b = f'<div class="{r.choice(("wrap", "c12", "box", "inner", "col-8"))}">', "</div>"
     outer = r.random() < 0.25
     html.append("<main>" * outer + a)
     head = r.random()
@@ -341,6 +348,8 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         kind = r.random()
         if kind < 0.72:
             text = words(1, 5) if r.random() < 0.25 else words(6, r.choice((12, 40, 120)))
+            if r.random() < 0.06:  # an article may say what footers and notices say
+                text = r.choice(("All rights reserved.", f"© {r.randint(1999, 2030)} {words(1, 3)}", f"Cookie and privacy {words(2, 9)}", f"Subscribe to {words(1, 6)}", f"{words(1, 3)} says: {words(3, 9)}"))
             put(text, True, "p" if r.random() < 0.93 else "div")
         elif kind < 0.80:
             put(words(1, 8), True, r.choice(("h2", "h3")))
@@ -369,6 +378,9 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     if inside_comments:
         talk()
     html.append(b + "</main>" * outer)
+    if bare < 0.10 and r.random() < 0.6:
+        html.append("<hr>" * r.randint(0, 1))
+        put(r.choice((f"© {r.randint(1999, 2030)} {words(1, 4)}", "All rights reserved.", f"&copy; {r.randint(1999, 2030)} All rights reserved.")), False, "p")
     if not inside_comments and r.random() < 0.35:
         talk()
     if r.random() < 0.3:

@@ -6,12 +6,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from lexforge.llm import components, decontaminate, mixing, simhash, units, winnow
+from lexforge.llm import components, decontaminate, mixing, oracle, simhash, units, winnow
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE_WORD = re.compile(r"[^ \t-\r]+")
@@ -278,6 +279,37 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Quality and mixing by DuckDB, the stages between in plain Python."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = {i for i, ok in con.execute(f"SELECT doc_id, kept FROM ({oracle.quality_sql()})").fetchall() if ok}
+    rows = [r for r in con.execute(f"SELECT {', '.join(columns)} FROM documents ORDER BY doc_id").fetchall() if r[0] in kept]
+    runs, lines = line_runs(rows), []
+    for d, t, *rest in rows:
+        gone = {k for a, b in runs[d, t] for k in range(a, b + 1)}
+        text = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        if not gone or SPACE_WORD.search(text):
+            lines.append((d, text, *rest[:2], len(text) if gone else rest[2]))
+    prints = {r[0]: print_of(r[1]) for r in lines}
+    comp, first = components_of(list(prints.values())), {}
+    for d in sorted(prints):
+        first.setdefault(comp[prints[d]], d)
+    single = [r for r in lines if r[0] in set(first.values())]
+    words = lambda t: BENCH_WORD.findall((t or "").translate(LOW))
+    tests = {tuple(w[i : i + 10]) for (t,) in con.execute(f"SELECT text FROM '{sf_dir}/benchmark.parquet'").fetchall() for w in [words(t)] for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(t) for t in tests}
+    clean = [r for r in single if not any(tuple(w[i : i + k]) in tests for w in [words(r[1])] for k in sizes for i in range(len(w) - k + 1))]
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", clean)
+    want = con.execute(f"SELECT d.*, m.size, round(m.target, 6), m.taken FROM ({oracle.MIX}) m JOIN documents d USING (doc_id) WHERE taken > 0").fetchall()
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert got.columns == [*columns, "size", "target", "taken"]
+    assert Counter((*r[:6], round(r[6], 6), r[7]) for r in map(tuple, got.collect())) == Counter(map(tuple, want))
+
+
 def test_pipeline_survives_hard_rows(spark, hard, empty, sf_dir):
     for docs in (hard, empty):
         for _, stage in corpus_pipeline.STAGES:

@@ -130,28 +130,33 @@ def _name(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("\u0000"))
 
 
-def _distance(x: list[Column], centre: str = "__m", factor: str = "__l") -> Column:
-    """Squared Mahalanobis distance by forward substitution through the Cholesky factor."""
-    y: list[Column] = []
+def _with_distance(df: DataFrame, x: list[Column], name: str) -> DataFrame:
+    """``df`` with the squared Mahalanobis distance ``name``, by forward substitution through the Cholesky factor.
+
+    Each unknown is a column of its own: written as one expression they would repeat each other, and the plan would grow with two to the
+    number of coordinates.
+    """
     for i in range(P):
-        y.append((x[i] - F.col(f"{centre}{i}") - sum((F.col(f"{factor}{i}{j}") * y[j] for j in range(i)), F.lit(0.0))) / F.col(f"{factor}{i}{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+        known = sum((F.col(f"__l{i}{j}") * F.col(f"__y{j}") for j in range(i)), F.lit(0.0))
+        df = df.withColumn(f"__y{i}", (x[i] - F.col(f"__m{i}") - known) / F.col(f"__l{i}{i}"))
+    y = [F.col(f"__y{i}") for i in range(P)]
+    return df.withColumn(name, sum((v * v for v in y[1:]), y[0] * y[0]))
 
 
 def _cell(d2: Column) -> Column:
     return F.floor(F.greatest(F.lit(-float(GRID)), F.least(F.lit(float(GRID)), F.log(d2 + 1e-12))) * CELLS).cast("int")
 
 
-def _factor(n: Column, s: list[Column], ss: dict[tuple[int, int], Column]) -> list[Column]:
-    """Centre and Cholesky factor, as columns, from count, sums and sums of products; pivots have a floor."""
-    mean = [s[i] / n for i in range(P)]
-    low: dict[tuple[int, int], Column] = {}
+def _factors(df: DataFrame) -> DataFrame:
+    """Centre ``__m`` and Cholesky factor ``__l`` from count, sums and sums of products; pivots have a floor. One column at a time, as above."""
+    for i in range(P):
+        df = df.withColumn(f"__m{i}", F.col(f"s{i}") / F.col("n"))
     for i in range(P):
         for j in range(i + 1):
-            cov = (ss[j, i] / n - mean[i] * mean[j]) * CONSISTENCY
-            rest = cov - sum((low[i, k] * low[j, k] for k in range(j)), F.lit(0.0))
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / low[j, j]
-    return [m.alias(f"__m{i}") for i, m in enumerate(mean)] + [c.alias(f"__l{i}{j}") for (i, j), c in low.items()]
+            cov = (F.col(f"s{j}_{i}") / F.col("n") - F.col(f"__m{i}") * F.col(f"__m{j}")) * CONSISTENCY
+            rest = cov - sum((F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}") for k in range(j)), F.lit(0.0))
+            df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))) if i == j else rest / F.col(f"__l{j}{j}"))
+    return df.select("__g", *[f"__m{i}" for i in range(P)], *[f"__l{i}{j}" for i in range(P) for j in range(i + 1)])
 
 
 def _start(x: DataFrame) -> DataFrame:
@@ -190,11 +195,11 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     )
     columns = [F.col(f"__x{i}") for i in range(P)]
     pairs = [(i, j) for j in range(P) for i in range(j + 1)]
-    now = _start(x)
+    now = materialize(_start(x))
     for _ in range(STEPS):
         cells = (
-            x.join(checked_broadcast(now, n_groups), "__g")
-            .groupBy("__g", _cell(_distance(columns)).alias("c"))
+            _with_distance(x.join(checked_broadcast(now, n_groups), "__g"), columns, "__d2")
+            .groupBy("__g", _cell(F.col("__d2")).alias("c"))
             .agg(
                 F.count("*").alias("n"),
                 *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)],
@@ -207,18 +212,18 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             "__g", "c", F.sum("n").over(Window.partitionBy("__g")).alias("all"), *[F.sum(k).over(run).alias(k) for k in sums]
         ).filter(F.col("n") >= F.col("all") * H_SHARE)
         first = totals.groupBy("__g").agg(F.max("all").alias("all"), *[F.min_by(k, "c").alias(k) for k in sums])
-        now = first.filter(F.col("all") >= MIN_GROUP).select("__g", *_factor(F.col("n"), [F.col(f"s{i}") for i in range(P)], {(i, j): F.col(f"s{i}_{j}") for i, j in pairs}))
-    return groups, materialize(now), n_groups
+        # a row for each group; written, so that no plan holds more than one step
+        now = materialize(_factors(first.filter(F.col("all") >= MIN_GROUP)))
+    return groups, now, n_groups
 
 
 def judge(stats: DataFrame, groups: DataFrame, scatter: DataFrame, n_groups: int) -> DataFrame:
     """``stats`` with ``__d2`` (null without an estimate) and ``__kept``."""
-    d2 = _distance(_vector())
     known = groups.join(scatter, "__g").drop("__g").withColumnRenamed("__a", "__ka").withColumnRenamed("__b", "__kb")
     names = stats.columns
+    joined = stats.join(checked_broadcast(known, n_groups), (_name("lang") == F.col("__ka")) & (_name("source") == F.col("__kb")), "left")
     return (
-        stats.join(checked_broadcast(known, n_groups), (_name("lang") == F.col("__ka")) & (_name("source") == F.col("__kb")), "left")
-        .withColumn("__d2", d2)
+        _with_distance(joined, _vector(), "__d2")
         # one expression: as a conjunction, its first part would be pushed below the join and computed from the text again
         .withColumn("__kept", F.when(F.col("__q.base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("__d2"), F.lit(0.0)) <= CUT))
         .select(*[F.col(f"`{c}`") for c in names], "__d2", "__kept")

@@ -93,6 +93,21 @@ def test_secrets(spark, hard, hard_rows, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_random_keys_with_few_digits_are_found(spark):
+    r = random.Random(8)
+    alpha = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = []
+    while len(keys) < 80:
+        key = "".join(r.choice(alpha) for _ in range(20))
+        if len(DIGITS(key)) < 2:
+            keys.append(key)
+    words = ["Internationalization", "counterrevolutionaries", "/usr/local/share/package/site", "-" * 30, "some_long_name_of_a_function", "e" * 25, "1" * 25]
+    rows = [(i, f"x {k} y") for i, k in enumerate(keys)] + [(1000 + i, f"x {w} y") for i, w in enumerate(words * 8)]
+    got = {x.doc_id: x.n_random for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(80)) > 0.85 * 80
+    assert not any(got[i] for i in got if i >= 1000)
+
+
 def quality_of(text: str | None) -> tuple:
     w = re.findall(r"[^ \t-\r]+", text or "")
     grams = Counter(zip(w, w[1:], w[2:]))

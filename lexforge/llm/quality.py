@@ -11,8 +11,9 @@ one aggregation per step adds counts and moments by (group, grid cell), and a ru
 how rows are spread over tasks, and no task ever holds more of a hot group than its cells.
 
 Edge cases: null text counts as empty and fails the base rule; null language or source form groups of
-their own; a group with fewer than ``min_group`` passing documents is pooled by language, then overall;
-when even that is too small, only the base rule decides; repeated rows each get the same verdict; an empty
+their own; a group with fewer than ``MIN_GROUP`` passing documents is pooled with the other small groups of its language, then
+of the corpus; when even those are too few, the estimate comes from all passing documents of the language, then of the
+corpus, large groups included; only a corpus with fewer than ``MIN_GROUP`` of them is left to the base rule; repeated rows each get the same verdict; an empty
 table gives an empty result; further columns are ignored by ``quality_table`` and kept by ``quality_filter``.
 """
 
@@ -181,16 +182,23 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     passing = stats.filter(~F.col("__q.base_failed"))
     counts = passing.groupBy(_name("lang").alias("__a"), _name("source").alias("__b")).agg(F.count("*").alias("n"))
     own, pooled = F.col("n") >= MIN_GROUP, F.col("of_lang") >= MIN_GROUP
-    small = F.when(own, 0).otherwise(F.col("n"))
-    groups = materialize(
-        counts.withColumn("of_lang", F.sum(small).over(Window.partitionBy("__a"))).select(
-            "__a", "__b", F.when(own, F.concat("__a", F.lit("\u001f"), "__b")).when(pooled, F.col("__a")).otherwise(F.lit("\u001f")).alias("__g")
-        )
-    )
-    n_groups = groups.count()
+    of_lang = Window.partitionBy("__a")
+    counts = counts.withColumn("of_lang", F.sum(F.when(own, 0).otherwise(F.col("n"))).over(of_lang)).withColumn("all_lang", F.sum("n").over(of_lang))
+    counts = materialize(counts.withColumn("left", ~own & ~pooled))
+    whole = F.col("all_lang") >= MIN_GROUP
+    sums = counts.agg(F.count("*").alias("groups"), F.sum(F.when(F.col("left"), F.col("n"))).alias("left"), F.count_if(F.col("left") & ~whole).alias("bare")).first()
+    n_groups, few = sums["groups"], 0 < (sums["left"] or 0) < MIN_GROUP
+    rest, lang, corpus = F.lit("\u001f"), F.concat(F.lit("\u001f\u001f"), "__a"), F.lit("\u001f\u001f\u001f")
+    fallback = F.when(whole, lang).otherwise(corpus) if few else rest
+    name = F.when(own, F.concat("__a", F.lit("\u001f"), "__b")).when(pooled, F.col("__a")).otherwise(fallback)
+    groups = materialize(counts.select("__a", "__b", name.alias("__g"), (whole & F.bool_or("left").over(of_lang)).alias("__lang")))
+    # documents of large groups also count for the fall-backs that someone needs
+    extra = [F.when(F.col("__lang"), lang), *([corpus] if sums["bare"] else [])] if few else []
+    members = groups.select("__a", "__b", F.explode(F.array_distinct(F.array_compact(F.array("__g", *extra)))).alias("__g")) if few else groups.drop("__lang")
+    groups, n_members = groups.drop("__lang"), n_groups * (1 + len(extra))
     x = (
         passing.select(_name("lang").alias("__a"), _name("source").alias("__b"), *[v.alias(f"__x{i}") for i, v in enumerate(_vector())])
-        .join(checked_broadcast(groups, n_groups), ["__a", "__b"])
+        .join(checked_broadcast(members, n_members), ["__a", "__b"])
         .drop("__a", "__b")
     )
     columns = [F.col(f"__x{i}") for i in range(P)]
@@ -198,7 +206,7 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     now = materialize(_start(x))
     for _ in range(STEPS):
         cells = (
-            _with_distance(x.join(checked_broadcast(now, n_groups), "__g"), columns, "__d2")
+            _with_distance(x.join(checked_broadcast(now, n_members), "__g"), columns, "__d2")
             .groupBy("__g", _cell(F.col("__d2")).alias("c"))
             .agg(
                 F.count("*").alias("n"),

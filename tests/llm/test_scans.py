@@ -137,6 +137,20 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_quality_judges_small_groups_by_the_rest_of_the_language_and_corpus(spark):
+    r = random.Random(6)
+    words = ["w" + "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(3000)]
+    text = lambda n, f=str: " ".join(f(r.choice(words)) for _ in range(n))
+    rows = [(i, text(r.randint(60, 300)), "en", "large") for i in range(200)]
+    for at, lang, source in ((1000, "en", "small"), (2000, "rare", "small")):
+        rows += [(at + i, text(r.randint(60, 300)), lang, source) for i in range(5)]
+        rows += [(at + 100 + i, text(120, lambda w: w + "###"), lang, source) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.quality_table(docs).collect()
+    assert all(x.distance2 is not None for x in got)
+    assert {x.doc_id for x in got if not x.kept} == {at + 100 + i for at in (1000, 2000) for i in range(10)}
+
+
 def brute_mcd(x: np.ndarray) -> float:
     best = np.inf
     r = np.random.default_rng(0)

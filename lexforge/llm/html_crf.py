@@ -32,11 +32,12 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea xmp".split())
-#: An opening tag of the key closes an open element of the values, unless a container lies between.
+#: An opening tag of the key closes open elements of the values, unless a container lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALLS = frozenset("ul ol dl table body html div section article".split())
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
-ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: Tried at the start of a name only and without backtracking, so that it is linear in long tags.
+ATTRIBUTE = re.compile(r"""(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Word stems of class, id and role attributes.
 STEMS = {
     "comment": ("comment", "disqus", "reply", "replies", "respond", "discussion", "kommentar", "feedback"),
@@ -65,6 +66,9 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
     """(text, features) of the page's leaf blocks, in page order."""
     blocks: list[tuple[str, dict[str, float]]] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    # places in the stack of the open elements of each name, and of all block-level ones: no end tag has to search for its partner
+    places: dict[str, list[int]] = {}
+    solid: list[int] = []
     parts: list[str] = []
     linked = 0
     links = 0
@@ -80,6 +84,23 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
             parts.clear()
         linked = 0
 
+    def last(name: str) -> int:
+        found = places.get(name)
+        return found[-1] if found else -1
+
+    def push(name: str, words: frozenset[str]) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            solid.append(len(stack))
+        stack.append((name, words))
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in BLOCK:
+                solid.pop()
+
     while at < n:
         tag = html.find("<", at)
         if tag < 0:
@@ -113,12 +134,9 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
                 close()
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break
+            k = last(name)
+            if k >= 0 and (name in BLOCK or not solid or solid[-1] < k):
+                cut(k)
             continue
         if name in RAW:
             found = _raw_end(html, name, at)
@@ -138,18 +156,15 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
             close()
             links = 0
             if stack and stack[-1][0] == "p":
-                stack.pop()
-            for k in range(len(stack) - 1, max(-1, len(stack) - 16), -1):
-                if stack[k][0] in CLOSES.get(name, ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in WALLS:
-                    break
-            stack.append((name, _words(inside)))
+                cut(len(stack) - 1)
+            if name in CLOSES:
+                wall = max(map(last, WALLS))
+                cut(min((k for k in map(last, CLOSES[name]) if k > wall), default=len(stack)))
+            push(name, _words(inside))
         elif name in ("button", "label", "span", "time", "small"):
             words = _words(inside)
             if words or name in ("button", "label"):
-                stack.append((name, words))
+                push(name, words)
     close()
     return blocks
 
@@ -187,7 +202,7 @@ def _words(inside: str) -> frozenset[str]:
     if "=" not in inside and "hidden" not in inside:
         return frozenset()
     found = set()
-    for key, value in ATTRIBUTE.findall(inside[:2048]):
+    for key, value in ATTRIBUTE.findall(inside):
         key = key.lower()
         if key in ("class", "id", "role", "itemprop"):
             for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
@@ -234,13 +249,13 @@ def features(text: str, stack: list[tuple[str, frozenset[str]]], linked: float)
     out["mostly linked"] = float(linked > 0.6)
     out["sentence end"] = float(text[-1] in ".!?…:;\"'”»")
     out["sentences"] = min(1.0, sum(text.count(c) for c in (". ", "! ", "? ")) / 4)
-    low = text[:400].lower()
+    low = text.lower()
     for k, words in SAYS.items():
         if any(w in low for w in words):
             out[f"says {k}"] = 1.0
             if "deepest=content" not in out:
                 out[f"says {k} outside"] = 1.0
-    out["digits"] = min(1.0, sum(c.isdigit() for c in text[:200]) / 40)
+    out["digits"] = min(1.0, 5 * sum(map(str.isdigit, text)) / max(200, n))
     return out
 
 

@@ -204,6 +204,27 @@ def test_html_is_linear_in_long_pages():
         html_crf.read(page)
 
 
+def test_html_closes_at_any_depth_and_reads_whole_blocks_and_tags():
+    rows = "".join(f"<tr><td>cell {i}<td>value {i}" for i in range(200))
+    page = f"<nav><table>{rows}</table></nav><article><p>Inside.</p><table>{rows.replace('cell', 'own')}</table></article><p>Outside.</p>"
+    said = dict(html_crf.read(page))
+    assert "in=nav" in said["cell 199"] and all("in=nav" not in said[t] and "in=article" in said[t] for t in ("Inside.", "own 199"))
+    assert not {"in=article", "in=table", "in=nav"} & set(said["Outside."])
+    deep = dict(html_crf.read("<aside>" + "<dd><span class=ad>" * 100 + "deep</aside>after"))
+    assert "in=aside" in deep["deep"] and "in=aside" not in deep["after"]
+    items = dict(html_crf.read("<ul><li class=ad>" + "<label>" * 20 + "one<li>two</ul>"))
+    assert "word=ad" in items["one"] and "word=ad" not in items["two"]
+    filler = "plain words here " * 40
+    ((_, said),) = html_crf.read(f"<p>{filler}all rights reserved</p>")
+    assert "says rights" in said
+    ((_, said),) = html_crf.read(f"<p>{filler}{'7' * 600}</p>")
+    assert said["digits"] == 1.0
+    ((_, said),) = html_crf.read(f'<div data-x="{"y" * 5000}" class="sidebar">text</div>')
+    assert "word=side" in said
+    for page in ("<div =" + "a" * 200_000 + ">", "<div a=" + "b " * 100_000 + ">", "<span class=ad><div>" + "<button>" * 20_000 + "</span>" * 20_000):
+        html_crf.read(page)
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<article><p>Some text that is the main text of the page.</p></article>", "x"), (2, None, None, "y"), (1, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -392,6 +392,8 @@ def list_equivalence(spark, sf_dir):
 
 @C.add(f"{_BM25} SELECT query_id, doc_id, score FROM bm WHERE rank <= 10 AND query_id < 5")
 def checked_rows(spark, sf_dir):
-    """EVA-17: an invariant holds for every row that passes."""
-    rows = bm25_leg(spark, sf_dir, 10).filter("query_id < 5")
-    return E.check(rows, F.col("score") > 0, "a score is not positive").select("query_id", "doc_id", "score")
+    """EVA-17: an invariant holds for the ten best of every benchmark text; the SQL returns those of the first five."""
+    rows = bm25_leg(spark, sf_dir, 10)
+    # counted apart, since a filter on top of the check would be pushed below it
+    passed = E.check(rows, F.col("score") > 0, "a score is not positive").agg(F.count("*").alias("n_passed"))
+    return rows.filter("query_id < 5").join(F.broadcast(passed), F.col("n_passed") > 0).select("query_id", "doc_id", "score")

@@ -68,6 +68,17 @@ def test_cross_validation_covers_every_query_once(spark, sf_dir):
     assert len(rows) == 4 and all(r.n == n for r in rows)
 
 
+def test_row_check_covers_every_benchmark_text(spark, sf_dir, monkeypatch):
+    from lexforge.plans import retrieval_queries as Q
+
+    rows = spark.createDataFrame([(1, 1, 2.0, 1), (7, 1, 0.0, 1)], "query_id long, doc_id long, score double, rank int")
+    monkeypatch.setattr(Q, "bm25_leg", lambda *a: rows)
+    with pytest.raises(Exception, match="a score is not positive"):
+        Q.checked_rows(spark, sf_dir).collect()
+    monkeypatch.setattr(Q, "bm25_leg", lambda *a: rows.withColumn("score", F.lit(1.0)))
+    assert [tuple(r) for r in Q.checked_rows(spark, sf_dir).collect()] == [(1, 1, 1.0)]
+
+
 def test_strata_keep_their_quotas(spark, sf_dir):
     rows = catalog.queries()["stratified_quota"](spark, sf_dir)
     assert rows.groupBy("source").count().agg(F.max("count")).first()[0] <= 6

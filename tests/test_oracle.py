@@ -68,6 +68,17 @@ def test_cross_validation_covers_every_query_once(spark, sf_dir):
     assert len(rows) == 4 and all(r.n == n for r in rows)
 
 
+def test_statistics_run_over_the_full_grid_and_all_rounds(spark, sf_dir, monkeypatch):
+    from lexforge.plans import retrieval_queries as Q
+
+    asked = {}
+    monkeypatch.setattr(Q.E, "grouped_cv", lambda ranks, *a, **k: asked.update(weights=ranks.select("w_id").distinct().count()))
+    monkeypatch.setattr(Q.E, "paired_bootstrap", lambda pairs, a, b, rounds=Q.E.paired_bootstrap.__defaults__[0], **k: asked.update(rounds=rounds))
+    Q.grouped_cv(spark, sf_dir)
+    Q.paired_bootstrap(spark, sf_dir)
+    assert asked == {"weights": 21, "rounds": 5000}
+
+
 def test_row_check_covers_every_benchmark_text(spark, sf_dir, monkeypatch):
     from lexforge.plans import retrieval_queries as Q
 

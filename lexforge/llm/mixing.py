@@ -7,8 +7,8 @@ water-filling: with the sources ordered by the level at which they fill up, one
 Blocks: within a source, documents lie end to end in seeded hash order on a line of words, cut into blocks of
 equal length. Sainte-Lague gives each source its number of blocks: seats go to the highest quotients
 ``target / (2 s - 1)``. Only seats whose quotient lies between two divisors that bracket the answer are
-ranked (about three rows for each source); the seats above the upper divisor are counted in closed form. The order
-of seats deals them to shards, so that every shard has integer quotas close to the weights.
+ranked (about three rows for each source); the seats above the upper divisor are counted in closed form. Quotas are per
+source only: no query deals blocks to shards, so a shard of the output need not be balanced (``shard_quotas`` is an aside).
 
 Selection: a quota of ``q`` blocks is ``q * block`` words. Whole passes over the source's line come first; of the words left, whole
 blocks are taken in the order of a seeded permutation ``(a b + c) mod n``, and the first words of the next block make up the rest. The
@@ -105,9 +105,9 @@ def quotas(goal: DataFrame, repeat: int = REPEAT) -> DataFrame:
 def shard_quotas(quota: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """Blocks of each source in each shard (source, shard, blocks).
 
-    A divisor method only adds seats as the house grows, so shard k holds the seats that a house of k + 1 shards has
-    beyond one of k. Up to shard k a source has its quota's share rounded at the natural divisor; every shard's quota is
-    an integer within one block of the exact share and the shards add up to ``q``.
+    Not on the path of any query: selection goes from a source's quota straight to its blocks. It ranks no quotients either: up to
+    shard k a source has its quota's share ``q * k / shards``, rounded. Every shard's quota is an integer within one
+    block of the exact share and the shards add up to ``q``.
     """
     total = F.sum("q").over(Window.partitionBy(F.lit(0)))
     rows = quota.withColumn("all", total).withColumn("shards", F.greatest(F.ceil(F.col("all") / shard_blocks), F.lit(1)))

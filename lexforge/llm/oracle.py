@@ -80,61 +80,76 @@ MIX = f"""WITH d AS (SELECT *, md5(concat_ws(':', doc_id, size, '{mixing.SEED}')
 
 
 def quality_sql() -> str:
-    """Statistics, starting medians, and each concentration step as a few common table expressions."""
-    p = quality.P
+    """Statistics, starting quartiles, and each concentration step of both starts as a few common table expressions."""
+    p, q = quality.P, quality
     name = lambda c: f"coalesce({c}, chr(0))"
-    pairs = [(i, j) for j in range(p) for i in range(j + 1)]
+    of = lambda make, sep=", ": sep.join(make(i) for i in range(p))
+    low = [(i, j) for i in range(p) for j in range(i + 1)]
+    n, chars = "CAST(greatest(n_words, 1) AS DOUBLE)", "CAST(greatest(word_chars, 1) AS DOUBLE)"
+    root = lambda share: f"asin(sqrt(least(1.0, {share})))"
+    count = lambda pattern: f"CAST(length(regexp_replace(coalesce(text, ''), '{pattern}', '', 'g')) AS BIGINT)"
+    signs, upper = q.NO_SIGN.replace("\\x09-\\x0D", "\\t\\n\\x0B\\f\\r"), q.NO_UPPER
     ctes = [
-        f"w AS (SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l FROM documents)",
+        "w AS MATERIALIZED (SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l FROM documents)",
         "g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) u(i))",
         "c AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id)",
-        f"s AS (SELECT doc_id, {name('lang')} AS a, {name('source')} AS b, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '{quality.SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id))",
-        "q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ln(1 + n_symbols / CAST(greatest(n_words, 1) AS DOUBLE)) AS x0, word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS x1, n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) AS x2, ln(1 + CAST(n_dup_lines AS DOUBLE)) AS x3 FROM s)",
+        f"s AS (SELECT doc_id, {name('lang')} AS a, {name('source')} AS b, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '{q.SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_filter(w, lambda x: length(x) <= 2)) AS BIGINT) AS n_short, {count(signs)} AS n_signs, {count(upper)} AS n_upper FROM w LEFT JOIN c USING (doc_id))",
+        f"q AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, sqrt(n_words / (n_words + {q.HALF})) AS weight, ln({chars} / {n}) AS x0, {root(f'n_signs / {chars}')} AS x1, {root(f'n_short / {n}')} AS x2, {root(f'n_upper / {chars}')} AS x3 FROM s)",
         "k AS (SELECT a, b, count(*) AS n FROM q WHERE NOT base_failed GROUP BY a, b)",
-        f"grp AS (SELECT a, b, CASE WHEN n >= {quality.MIN_GROUP} THEN a || chr(31) || b WHEN pooled >= {quality.MIN_GROUP} THEN a ELSE chr(31) END AS g FROM (SELECT *, sum(CASE WHEN n >= {quality.MIN_GROUP} THEN 0 ELSE n END) OVER (PARTITION BY a) AS pooled FROM k))",
-        "x AS (SELECT g, x0, x1, x2, x3 FROM q JOIN grp USING (a, b) WHERE NOT base_failed)",
+        f"grp AS (SELECT a, b, CASE WHEN n >= {q.MIN_GROUP} THEN a || chr(31) || b WHEN pooled >= {q.MIN_GROUP} THEN a ELSE chr(31) END AS g FROM (SELECT *, sum(CASE WHEN n >= {q.MIN_GROUP} THEN 0 ELSE n END) OVER (PARTITION BY a) AS pooled FROM k))",
+        f"x AS MATERIALIZED (SELECT g, weight, {of(lambda i: f'x{i}')} FROM q JOIN grp USING (a, b) WHERE NOT base_failed)",
     ]
-    widths = [f / 4 for f in quality.FLOORS]
-    cells = " UNION ALL ".join(f"SELECT g, {i} AS i, CAST(floor(least(x{i} / {w!r}, 1e6)) AS BIGINT) AS c FROM x" for i, w in enumerate(widths))
+    cells = " UNION ALL ".join(f"SELECT g, {i} AS i, CAST(floor(x{i} / {q.WIDTH!r}) AS BIGINT) AS c FROM x" for i in range(p))
     ctes += [
         f"hc AS (SELECT g, i, c, count(*) AS n FROM ({cells}) GROUP BY ALL)",
         "hr AS (SELECT g, i, c, sum(n) OVER (PARTITION BY g, i ORDER BY c) / sum(n) OVER (PARTITION BY g, i) AS r FROM hc)",
         "hm AS (SELECT g, i, min(c) FILTER (WHERE r >= 0.25) AS lo, min(c) FILTER (WHERE r >= 0.5) AS mid, min(c) FILTER (WHERE r >= 0.75) AS hi FROM hr GROUP BY g, i)",
+        f"h AS (SELECT g, {of(lambda i: f'max((mid + 0.5) * {q.WIDTH!r}) FILTER (WHERE i = {i}) AS c{i}, max(greatest((hi - lo) * {q.WIDTH!r} / 1.349, {q.TINY!r})) FILTER (WHERE i = {i}) AS r{i}')} FROM hm GROUP BY g)",
+        f"z AS MATERIALIZED (SELECT g, {of(lambda i: f'(x{i} - c{i}) * weight AS z{i}, r{i}')} FROM x JOIN h USING (g))",
     ]
-    start = [f"max((mid + 0.5) * {w!r}) FILTER (WHERE i = {i}) AS m{i}" for i, w in enumerate(widths)]
-    for i in range(p):
-        for j in range(i + 1):
-            start.append(f"max(greatest((hi - lo) * {widths[i]!r} / 1.349, {quality.FLOORS[i]!r})) FILTER (WHERE i = {i}) AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}")
-    ctes.append(f"e0 AS (SELECT g, {', '.join(start)} FROM hm GROUP BY g)")
-
-    def distance(x: str) -> tuple[list[str], str]:
-        """Columns y0.. by nested subselects, and their squares' sum."""
-        source = x
+    factor = [*[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i, j in low]]
+
+    def distance(x: str) -> str:
+        """``x`` with d2, by nested subselects."""
         for i in range(p):
-            inner = "".join(f" - l{i}{j} * y{j}" for j in range(i))
-            source = f"(SELECT *, (x{i} - m{i}{inner}) / l{i}{i} AS y{i} FROM {source})"
-        return [f"y{i}" for i in range(p)], source
-
-    for step in range(quality.STEPS):
-        ys, source = distance(f"(SELECT * FROM x JOIN e{step} USING (g))")
-        d2 = " + ".join(f"{y} * {y}" for y in ys)
-        cell = f"CAST(floor(greatest(-{quality.GRID}.0, least({quality.GRID}.0, ln({d2} + 1e-12))) * {quality.CELLS}) AS BIGINT)"
-        sums = [f"sum(x{i}) AS s{i}" for i in range(p)] + [f"sum(x{i} * x{j}) AS s{i}_{j}" for i, j in pairs]
-        names = ["n", *[f"s{i}" for i in range(p)], *[f"s{i}_{j}" for i, j in pairs]]
+            known = "".join(f" - l{i}{j} * y{j}" for j in range(i))
+            x = f"(SELECT *, (z{i} - m{i}{known}) / l{i}{i} AS y{i} FROM {x})"
+        return f"(SELECT *, {of(lambda i: f'y{i} * y{i}', ' + ')} AS d2 FROM {x})"
+
+    cell = f"CAST(floor(greatest(-{q.GRID}.0, least({q.GRID}.0, ln(d2 + 1e-12))) * {q.CELLS}) AS BIGINT)"
+    moments = lambda x: ", ".join(["count(*) AS n", *[f"sum({x(i)}) AS s{i}" for i in range(p)], *[f"sum({x(i)} * {x(j)}) AS s{i}_{j}" for i, j in q.PAIRS]])
+
+    def factors(x: str, centre: bool = True) -> str:
+        x = f"(SELECT *, {of(lambda i: f's{i} / n AS m{i}')} FROM {x})"
+        for i, j in low:
+            rest = f"(s{j}_{i} / n - m{i} * m{j})" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            x = f"(SELECT *, {f'CASE WHEN {rest} > {q.TINY**2!r} THEN sqrt(greatest({rest}, 0)) ELSE {q.OUT!r} END' if i == j else f'({rest}) / l{j}{j}'} AS l{i}{j} FROM {x})"
+        det = of(lambda i: f"CASE WHEN l{i}{i} < {q.OUT!r} THEN ln(l{i}{i}) ELSE 0 END", " + ")
+        return f"(SELECT g, v, {', '.join(c if centre or c[0] == 'l' else f'0.0::DOUBLE AS {c}' for c in factor)}, {det} AS det FROM {x})"
+
+    held = lambda i: f"(greatest(-{q.WINSOR}, least({q.WINSOR}, z{i} / r{i})) * r{i})"
+    plain = ", ".join([f"0.0::DOUBLE AS m{i}" for i in range(p)] + [f"r{i} AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}" for i, j in low])
+    ctes.append(f"e0 AS MATERIALIZED (SELECT g, 0 AS v, {plain}, 0.0::DOUBLE AS det FROM h UNION ALL SELECT * FROM {factors(f'(SELECT g, 1 AS v, {moments(held)} FROM z GROUP BY g)', False)})")
+    for step in range(q.STEPS):
         ctes += [
-            f"c{step} AS (SELECT g, {cell} AS c, count(*) AS n, {', '.join(sums)} FROM {source} GROUP BY ALL)",
-            f"t{step} AS (SELECT g, c, sum(n) OVER (PARTITION BY g) AS every, {', '.join(f'sum({k}) OVER (PARTITION BY g ORDER BY c) AS {k}' for k in names)} FROM c{step})",
-            f"f{step} AS (SELECT g, max(every) AS every, {', '.join(f'min_by({k}, c) AS {k}' for k in names)} FROM t{step} WHERE n >= every * {quality.H_SHARE} GROUP BY g)",
+            f"c{step} AS (SELECT g, v, {cell} AS c, {moments(lambda i: f'z{i}')} FROM {distance(f'(SELECT * FROM z JOIN e{step} USING (g))')} GROUP BY ALL)",
+            f"t{step} AS (SELECT g, v, c, sum(n) OVER (PARTITION BY g, v) AS every, {', '.join(f'sum({k}) OVER (PARTITION BY g, v ORDER BY c) AS {k}' for k in q.SUMS)} FROM c{step})",
+            f"f{step} AS (SELECT g, v, max(every) AS every, {', '.join(f'min_by({k}, c) AS {k}' for k in q.SUMS)} FROM t{step} WHERE n >= every * {q.H_SHARE} GROUP BY g, v)",
+            f"n{step} AS MATERIALIZED (SELECT * FROM {factors(f'(SELECT * FROM f{step} WHERE every >= {q.MIN_GROUP})')})",
+            # once settled, a step passes on what it was given
+            f"e{step + 1} AS MATERIALIZED (SELECT * FROM n{step} WHERE {f'NOT (SELECT done FROM d{step - 1})' if step else 'true'}" + (f" UNION ALL SELECT * FROM e{step} WHERE (SELECT done FROM d{step - 1})" if step else "") + ")",
+            f"d{step} AS MATERIALIZED (SELECT " + (f"(SELECT done FROM d{step - 1}) OR (SELECT sum(det) FROM e{step}) - (SELECT sum(det) FROM e{step + 1}) < {q.TOLERANCE} * (SELECT count(*) FROM e{step + 1})" if step else "false") + " AS done)",
         ]
-        source = f"(SELECT *, {', '.join(f's{i} / n AS m{i}' for i in range(p))} FROM f{step} WHERE every >= {quality.MIN_GROUP})"
-        for i in range(p):
-            for j in range(i + 1):
-                rest = f"(s{j}_{i} / n - m{i} * m{j}) * {quality.CONSISTENCY}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-                source = f"(SELECT *, {f'sqrt(greatest({rest}, {quality.FLOORS[i] ** 2!r}))' if i == j else f'({rest}) / l{j}{j}'} AS l{i}{j} FROM {source})"
-        ctes.append(f"e{step + 1} AS (SELECT g, {', '.join([f'm{i}' for i in range(p)] + [f'l{i}{j}' for i in range(p) for j in range(i + 1)])} FROM {source})")
-    ys, source = distance(f"(SELECT * FROM q LEFT JOIN grp USING (a, b) LEFT JOIN e{quality.STEPS} USING (g))")
-    d2 = " + ".join(f"{y} * {y}" for y in ys)
-    return f"""WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({d2}, 0) <= {quality.CUT} AS kept, round({d2}, 3) AS distance2 FROM {source}"""
+    ctes += [
+        f"best AS MATERIALIZED (SELECT g, {', '.join(f'arg_min({c}, det * 4 + v * 1e-12) AS {c}' for c in factor)} FROM e{q.STEPS} GROUP BY g)",
+        f"dc AS (SELECT g, {cell} AS c, count(*) AS n FROM {distance('(SELECT * FROM z JOIN best USING (g))')} GROUP BY ALL)",
+        f"sc AS (SELECT g, min(c) AS c FROM (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY c) * 2 >= sum(n) OVER (PARTITION BY g) AS half FROM dc) WHERE half GROUP BY g)",
+    ]
+    freedom = of(lambda i: f"CASE WHEN l{i}{i} < {q.OUT!r} THEN 1 ELSE 0 END", " + ")
+    pick = lambda values: f"[{', '.join(map(str, values))}][1 + {freedom}]"
+    scaled = f"exp((c + 0.5) / {q.CELLS}) / {pick(q.MEDIANS)} AS scale, {pick(q.CUTS)} AS cut"
+    source = distance(f"(SELECT *, {scaled}, {of(lambda i: f'(x{i} - c{i}) * weight AS z{i}')} FROM q LEFT JOIN grp USING (a, b) LEFT JOIN best USING (g) LEFT JOIN h USING (g) LEFT JOIN sc USING (g))")
+    return f"""WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_short, n_signs, n_upper, NOT base_failed AND coalesce(d2 / scale <= cut, true) AS kept, round(d2 / scale, 3) AS distance2 FROM {source}"""
 
 
 def oracle_sql() -> dict[str, str]:

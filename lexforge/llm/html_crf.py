@@ -3,14 +3,18 @@
 A page is read once into leaf blocks, the runs of text between block-level tags, each with its ancestors' tags and class or
 id words. A two-state chain (content, other) scores blocks from ancestor and text features and neighbours from each other;
 it is trained by maximum likelihood on ``PAGES`` seeded labelled pages from templates that vary layout, naming and
-malformed markup, and decoded by Viterbi. Content blocks are joined in page order by newlines.
+malformed markup, some with containers that name nothing or the wrong thing, and decoded by Viterbi. Content blocks are joined in page
+order by newlines.
 
-The reader never backtracks: tags, comments and raw elements (script, style and the like) are found by forward search, an
-unclosed one ends the page, and end tags close at most the open elements above their partner. Training is bounded by its parameters
+The reader follows the tokeniser of the HTML standard and never backtracks: a quoted attribute value may hold any number of ``>``, a quote that is never
+closed is an ordinary character, ``<!-->`` is an empty comment, an unclosed comment, script or style ends the page, and end tags find their partner in
+constant time at any depth. What the ancestors say is carried along from parent to child, so a block costs the same at every depth. Only scripts, styles, comments and
+tags are left out by the reader; all else is for the chain to judge. Training is bounded by its parameters
 and repeated on the driver for each query; the model is a few hundred weights.
 
 Edge cases: null html counts as empty and gives an empty text; text outside any tag is a block; entities without a semicolon are
-decoded as browsers do; a page of any length is read whole; repeated rows get equal answers; an empty table gives an empty result.
+decoded as browsers do; a page of any length, depth or tag length is read whole; equal scores go to "other"; repeated rows get equal answers; an empty table gives
+an empty result; columns besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +29,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PAGES, SEED, STEPS = 400, 4451, 160
+PAGES, SEED, STEPS = 500, 4451, 160
+#: Shares of training pages with telling, neutral and misleading names.
+SHAPES = (0.7, 0.23, 0.07)
 
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul caption head".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea xmp".split())
+RAW = frozenset(("script", "style"))
 #: An opening tag of the key closes open elements of the values, unless a container lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALLS = frozenset("ul ol dl table body html div section article".split())
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
-#: Tried at the start of a name only and without backtracking, so that it is linear in long tags.
 ATTRIBUTE = re.compile(r"""(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: The rest of a tag up to its >: a value in quotes is passed over whole. Possessive throughout, so linear.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+""")
+COMMENT_END = re.compile(r"--!?>")
 #: Word stems of class, id and role attributes.
 STEMS = {
     "comment": ("comment", "disqus", "reply", "replies", "respond", "discussion", "kommentar", "feedback"),
@@ -54,6 +62,10 @@ STEMS = {
 AGAINST = frozenset(STEMS) - {"body", "head", "byline"} | {"hidden"}
 STEM_OF = {w: k for k, ws in STEMS.items() for w in ws}
 TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "table", "li", "section", "title", "blockquote", "pre", "figure", "select", "p", "h1", "h2", "h3", "td", "div", "dd", "button", "label")
+TAG_SET = frozenset(TAGS)
+#: Elements that never hold main text, and inline ones that can say something.
+NEVER = frozenset(("nav", "footer", "aside", "form", "select", "button", "title", "label", "textarea", "template"))
+INLINE = frozenset(("button", "label", "span", "time", "small", "textarea", "template"))
 SAYS = {
     "cookie": ("cookie", "consent", "privacy", "datenschutz"),
     "rights": ("©", "all rights reserved", "copyright", "alle rechte"),
@@ -62,10 +74,39 @@ SAYS = {
 }
 
 
+class Context:
+    """What an open element and its ancestors say: enough for the features of any block inside it."""
+
+    __slots__ = ("name", "inside", "said", "near", "deepest", "by", "main", "headed", "known")
+
+    def __init__(self, up: Context | None, name: str, words: frozenset[str]) -> None:
+        self.name, self.known = name, None
+        self.inside = (up.inside if up else frozenset()) if name not in TAG_SET or up and name in up.inside else (up.inside if up else frozenset()) | {name}
+        self.said = words if not up else up.said if words <= up.said else up.said | words
+        self.near = words or (up.near if up else words)
+        main = name in ("article", "main")
+        # which container lies deepest: one that holds main text, or one that never does
+        self.deepest = "other" if words & AGAINST or name in NEVER else "content" if main or "body" in words else up.deepest if up else "none"
+        # whether a tag or only a name says so
+        self.by = "tag" if main or name in NEVER else "name" if words & AGAINST or "body" in words else up.by if up else "none"
+        self.main = main or bool(up and up.main)
+        self.headed = bool(up and (up.headed or name == "header" and up.main))
+
+    def features(self) -> dict[str, float]:
+        if self.known is None:
+            out = {"one": 1.0, f"tag={self.name}": 1.0, f"deepest={self.deepest}": 1.0, f"deepest={self.deepest} by {self.by}": 1.0}
+            out |= {f"in={t}": 1.0 for t in sorted(self.inside)} | {f"word={w}": 1.0 for w in sorted(self.said)} | {f"near={w}": 1.0 for w in sorted(self.near)}
+            if self.headed:
+                out["header in article"] = 1.0
+            self.known = out
+        return self.known
+
+
 def read(html: str) -> list[tuple[str, dict[str, float]]]:
     """(text, features) of the page's leaf blocks, in page order."""
     blocks: list[tuple[str, dict[str, float]]] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    outside = Context(None, "none", frozenset())
+    stack: list[Context] = []
     # places in the stack of the open elements of each name, and of all block-level ones: no end tag has to search for its partner
     places: dict[str, list[int]] = {}
     solid: list[int] = []
@@ -80,7 +121,7 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                blocks.append((text, features(text, stack, linked / max(1, len(raw)))))
+                blocks.append((text, features(text, stack[-1] if stack else outside, linked / max(1, len(raw)))))
             parts.clear()
         linked = 0
 
@@ -92,11 +133,11 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
         places.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             solid.append(len(stack))
-        stack.append((name, words))
+        stack.append(Context(stack[-1] if stack else None, name, words))
 
     def cut(k: int) -> None:
         while len(stack) > k:
-            name = stack.pop()[0]
+            name = stack.pop().name
             places[name].pop()
             if name in BLOCK:
                 solid.pop()
@@ -111,8 +152,9 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
         if tag == n:
             break
         if html.startswith("<!--", tag):
-            end = html.find("-->", tag + 4)
-            at = n if end < 0 else end + 3
+            empty = 5 if html.startswith(">", tag + 4) else 6 if html.startswith("->", tag + 4) else 0
+            end = COMMENT_END.search(html, tag + 4) if not empty else None
+            at = tag + empty if empty else end.end() if end else n
             continue
         first = html[tag + 1 : tag + 2]
         closing = first == "/"
@@ -125,7 +167,7 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
                 parts.append("<")
                 at = tag + 1
             continue
-        end = _tag_end(html, m.end())
+        end = REST.match(html, m.end()).end()
         name = m.group().lower()
         inside = html[m.end() : end]
         at = end + 1
@@ -139,9 +181,7 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
                 cut(k)
             continue
         if name in RAW:
-            found = _raw_end(html, name, at)
-            if not inside.rstrip().endswith("/"):
-                at = found
+            at = _raw_end(html, name, at)
             continue
         if name == "br":
             parts.append(" ")
@@ -155,42 +195,25 @@ def read(html: str) -> list[tuple[str, dict[str, float]]]:
         if name in BLOCK:
             close()
             links = 0
-            if stack and stack[-1][0] == "p":
+            if stack and stack[-1].name == "p":
                 cut(len(stack) - 1)
             if name in CLOSES:
                 wall = max(map(last, WALLS))
                 cut(min((k for k in map(last, CLOSES[name]) if k > wall), default=len(stack)))
             push(name, _words(inside))
-        elif name in ("button", "label", "span", "time", "small"):
+        elif name in INLINE:
             words = _words(inside)
-            if words or name in ("button", "label"):
+            if words or name in NEVER:
                 push(name, words)
     close()
     return blocks
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Position of the tag's >, passing over quoted values; an odd quote is taken for a slip."""
-    end = html.find(">", at)
-    for _ in range(8):
-        if end < 0:
-            return len(html)
-        inside = html[at:end]
-        if len(inside) > 4096 or ("=" not in inside) or not (inside.count('"') % 2 or inside.count("'") % 2):
-            return end
-        later = html.find(">", end + 1)
-        if later < 0 or later - at > 4096:
-            return end
-        if html.find("<", end, later) >= 0 and html.count('"', at, later) % 2:
-            return end
-        end = later
-    return end
-
-
 def _raw_end(html: str, name: str, at: int) -> int:
     """End of a raw element: after its closing tag, or the end of the page."""
     while (at := html.find("</", at)) >= 0:
-        if html[at + 2 : at + 2 + len(name)].lower() == name:
+        stop = at + 2 + len(name)
+        if html[at + 2 : stop].lower() == name and (stop >= len(html) or html[stop] in " \t\n\f\r/>"):
             end = html.find(">", at)
             return len(html) if end < 0 else end + 1
         at += 2
@@ -217,32 +240,8 @@ def _words(inside: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def features(text: str, stack: list[tuple[str, frozenset[str]]], linked: float) -> dict[str, float]:
-    tags = [t for t, _ in stack]
-    inside = set(tags)
-    out = {"one": 1.0, f"tag={tags[-1] if tags else 'none'}": 1.0}
-    for t in TAGS:
-        if t in inside:
-            out[f"in={t}"] = 1.0
-    if ("article" in inside or "main" in inside) and "header" in inside:
-        out["header in article"] = float(max(i for i, t in enumerate(tags) if t == "header") > min(i for i, t in enumerate(tags) if t in ("article", "main")))
-    # which container lies deepest: one that holds main text, or one that never does
-    for tag, words in reversed(stack):
-        if words & AGAINST or tag in ("nav", "footer", "aside", "form", "select", "button", "title"):
-            out["deepest=other"] = 1.0
-            break
-        if tag in ("article", "main") or "body" in words:
-            out["deepest=content"] = 1.0
-            break
-    else:
-        out["deepest=none"] = 1.0
-    near = None
-    for k, (_, words) in enumerate(reversed(stack)):
-        for w in words:
-            out[f"word={w}"] = 1.0
-            if near is None or near == k:
-                out[f"near={w}"] = 1.0
-                near = k
+def features(text: str, context: Context, linked: float) -> dict[str, float]:
+    out = dict(context.features())
     n = len(text)
     out[f"length={min(6, n.bit_length() // 2 - 1)}"] = 1.0
     out["linked"] = min(1.0, linked)
@@ -253,7 +252,7 @@ def features(text: str, stack: list[tuple[str, frozenset[str]]], linked: float)
     for k, words in SAYS.items():
         if any(w in low for w in words):
             out[f"says {k}"] = 1.0
-            if "deepest=content" not in out:
+            if context.deepest != "content":
                 out[f"says {k} outside"] = 1.0
     out["digits"] = min(1.0, 5 * sum(map(str.isdigit, text)) / max(200, n))
     return out
@@ -262,8 +261,16 @@ def features(text: str, stack: list[tuple[str, frozenset[str]]], linked: float)
 # -- training pages ------------------------------------------------------------------------------------------------
 
 
-def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
-    """A labelled page: its html, and (text, is content) of every block in order."""
+#: Names of containers that say nothing.
+NEUTRAL = ("c1", "c12", "box", "row", "col-8", "inner", "wrap", "block", "x7", "outer", "grid", "cell")
+
+
+def _page(r: random.Random, shapes: tuple[float, ...]) -> tuple[str, list[tuple[str, bool]]]:
+    """A labelled page: its html, and (text, is content) of every block in order.
+
+    ``shapes`` weighs pages that name their containers, give them neutral names, or names drawn without regard to what they hold.
+    """
+    shape = r.choices(("named", "neutral", "lying"), shapes)[0]
     said: list[tuple[str, bool]] = []
     html: list[str] = []
 
@@ -279,6 +286,10 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         said.append((text, good))
 
     def wrap(names: tuple[str, ...], stems: tuple[str, ...], chance: float = 0.7) -> tuple[str, str]:
+        if shape == "neutral":
+            return r.choice(("<div>", f'<div class="{r.choice(NEUTRAL)}">', f'<div id="{r.choice(NEUTRAL)}">')), "</div>"
+        if shape == "lying":
+            names, stems = ("div", "section"), r.choice(tuple(STEMS.values()))
         tag = r.choice(names)
         named = r.random() < chance or tag == "div"
         stem = r.choice(stems) + r.choice(("", "", "-wrapper", "-1", " clearfix", "_box"))
@@ -321,7 +332,7 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         if r.random() < 0.5:
             menu()
         for _ in range(r.randint(0, 3)):
-            put(words(4, 22), False, "p", link=r.random() < 0.5)
+            put(words(4, 22), False, "p", link=shape != "named" or r.random() < 0.5)
 
     def foot() -> None:
         for _ in range(r.randint(1, 3)):
@@ -330,18 +341,23 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
             menu()
 
     html.append('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8">')
-    put(words(3, 10), False, "title")
+    full = r.random() < 0.85  # else a fragment that begins with its article
+    if full:
+        put(words(3, 10), False, "title")
     html.append("<script>var a='<p>no</p>';</script><style>p{margin:0}</style></head><body>")
+    if shape != "named" and r.random() < 0.5:
+        html.append(r.choice(('<div class="content">', '<div id="page">', '<div class="wrap">')))
     ads = ("ad", "ads", "advert", "sponsored", "promo-box", "ad-slot")
-    if r.random() < 0.3:
+    prose = shape == "named"  # where no name tells, prose that is not the article's cannot be told from it
+    if r.random() < 0.3 * prose * full:
         group(("div", "section"), ("cookie-notice", "consent", "notice", "banner", "alert"), notice)
-    if r.random() < 0.45:
+    if r.random() < 0.45 * full:
         group(("header", "div"), ("header", "masthead", "topbar", "site-header"), lambda: (put(words(1, 4), False, r.choice(("h1", "p", "div"))), menu() if r.random() < 0.5 else None))
-    if r.random() < 0.75:
+    if r.random() < 0.75 * full:
         group(("nav", "div", "nav"), ("nav", "menu", "breadcrumb", "main-menu"), menu, 0.4)
-    if r.random() < 0.5:
+    if r.random() < 0.5 * prose * full:
         group(("div",), ads, advert)
-    if r.random() < 0.2:
+    if r.random() < 0.2 * full:
         group(("aside", "div"), ("sidebar", "widget", "left-rail"), side)
     a, b = wrap(("article", "article", "main", "div", "section"), ("content", "article", "post", "entry-content", "story-body", "main"), 0.5)
     if a.startswith("<section>"):
@@ -353,16 +369,16 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         a, b = f'<div class="{r.choice(("wrap", "c12", "box", "inner", "col-8"))}">', "</div>"
     outer = r.random() < 0.25
     html.append("<main>" * outer + a)
-    head = r.random()
-    if head < 0.8:
+    brief = r.random() < 0.15  # an article of one block, or two
+    if r.random() < (0.3 if brief else 0.8):
         in_header = r.random() < 0.15
         html.append("<header>" * in_header)
         put(words(3, 14), True, "h1" if r.random() < 0.85 else "h2")
         html.append("</header>" * in_header)
-    for k in range(r.randint(1, 14)):
+    for k in range(1 if brief else r.randint(1, 14)):
         kind = r.random()
-        if kind < 0.72:
-            text = words(1, 5) if r.random() < 0.25 else words(6, r.choice((12, 40, 120)))
+        if kind < 0.72 or brief:
+            text = words(3, 5) if r.random() < 0.25 else words(6, r.choice((12, 40, 120)))
             if r.random() < 0.06:  # an article may say what footers and notices say
                 text = r.choice(("All rights reserved.", f"© {r.randint(1999, 2030)} {words(1, 3)}", f"Cookie and privacy {words(2, 9)}", f"Subscribe to {words(1, 6)}", f"{words(1, 3)} says: {words(3, 9)}"))
             put(text, True, "p" if r.random() < 0.93 else "div")
@@ -380,7 +396,7 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
             for _ in range(4):
                 put(words(1, 5), True, "td")
             html.append("</tr></table>")
-        elif k:
+        elif k and prose:
             pick = r.random()
             if pick < 0.5:
                 group(("div", "aside"), ads, advert, 1.0)
@@ -404,18 +420,18 @@ def _page(r: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         html.append("</form>")
     if r.random() < 0.35:
         group(("aside", "div"), ("sidebar", "widget", "related-posts"), side)
-    if r.random() < 0.2:
+    if r.random() < 0.2 * prose:
         group(("div",), ads, advert)
     if r.random() < 0.85:
         group(("footer", "footer", "div"), ("footer", "site-footer", "copyright"), foot, 0.4)
     return "".join(html) + ("</body></html>" if r.random() < 0.8 else ""), said
 
 
-def labelled_pages(n: int, seed: int) -> list[tuple[list[dict[str, float]], list[int]]]:
+def labelled_pages(n: int, seed: int, shapes: tuple[float, ...] = SHAPES) -> list[tuple[list[dict[str, float]], list[int]]]:
     """Features and labels of the blocks of ``n`` pages; labels are carried by page order."""
     r, out = random.Random(seed), []
     while len(out) < n:
-        html, said = _page(r)
+        html, said = _page(r, shapes)
         want = [(" ".join(unescape(t).split()), good) for t, good in said]
         got = read(html)
         k, labels = 0, []
@@ -439,7 +455,8 @@ class Chain:
         self.weight = np.zeros(0)
         self.move, self.start = np.zeros((2, 2)), np.zeros(2)
 
-    def fit(self, pages: list[tuple[list[dict[str, float]], list[int]]], steps: int = STEPS, rate: float = 0.25, decay: float = 1e-5) -> Chain:
+    def fit(self, pages: list[tuple[list[dict[str, float]], list[int]]], steps: int = STEPS, rate: float = 0.25, decay: float = 1e-5, linked: bool = True) -> Chain:
+        """Maximum likelihood; without ``linked`` the blocks are independent, a logistic regression for comparison."""
         for blocks, _ in pages:
             for f in blocks:
                 for k in f:
@@ -475,6 +492,7 @@ class Chain:
             edge = np.exp(alpha[:, :-1, :, None] + move + (emit + beta)[:, 1:, None, :] - norm[:, None, None, None])
             g = np.concatenate([flat.T @ (((y == 1) - node[:, :, 1]) * live).reshape(-1), (seen - (edge * pair[:, :, None, None]).sum(axis=(0, 1))).ravel(), first - node[:, 0].sum(axis=0)]) / total
             g -= decay * theta
+            g[wide:] *= linked
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weight, self.move, self.start = theta[:wide], theta[wide : wide + 4].reshape(2, 2), theta[wide + 4 :]

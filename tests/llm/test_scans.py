@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from itertools import product
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexforge.llm import chat, html_crf, pii, quality, secrets
+from tests.llm.pages import held_out
 
 DIGITS = lambda s: re.sub("[^0-9]", "", s)
 PII = (
@@ -212,9 +215,9 @@ def test_quality_leaves_out_a_coordinate_that_does_not_vary(spark):
 
 def test_html_reader_and_model():
     model = html_crf.train()
-    pages = html_crf.labelled_pages(150, 4242)
+    pages = html_crf.labelled_pages(150, 4242, (1.0, 0.0, 0.0))
     right = [[int(a) == b for a, b in zip(model.decode(f), y)] for f, y in pages]
-    assert np.mean([x for p in right for x in p]) > 0.98 and np.mean([all(p) for p in right]) > 0.9
+    assert np.mean([x for p in right for x in p]) > 0.98 and np.mean([all(p) for p in right]) > 0.7  # names may lie, so where only a name tells, prose can win
     page = (
         '<html><head><title>T</title></head><body><div class="cookie-notice">We use cookies.</div><nav><ul><li><a href="/">Home</a></li></ul></nav><article><header><h1>A &amp; B</h1></header>'
         '<p>First paragraph\n of   the text, long enough to be one.<p>Second<br>line &copy; here, which also has words. <script>var x="<p>no</p>";</script><div class="ad">Buy now</div>'
@@ -226,10 +229,98 @@ def test_html_reader_and_model():
 
 
 def test_html_is_linear_in_long_pages():
-    for page in ("<p>" * 60_000, "<a href='" * 40_000, "<" * 200_000, "</div>" * 60_000, "<b>" * 60_000, "<div><span class=x>" * 20_000, "<script>" * 20_000):
+    for page in ("<div>x" * 40_000, "<p a='>" * 40_000, '<p a=">' * 40_001, "<!-" * 60_000, "<a =" * 60_000, "<p>" * 60_000, "<a href='" * 40_000, "<" * 200_000, "</div>" * 60_000, "<b>" * 60_000, "<div><span class=x>" * 20_000, "<script>" * 20_000):
         html_crf.read(page)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<nav>" + "<div>" * 70 + "menu</nav><article><p>Text of the article.</p></article>", "Text of the article."),
+    ('<article><p title="a>b>c>d>e>f>g>h>i>j>k">Text of the article.</p></article>', "Text of the article."),
+    ('<article><img alt="' + "y" * 5000 + '>z"><p>Text of the article.</p></article>', "Text of the article."),
+    ("<article><!--><p>Text of the article.</p><!---><p>More of it.</p><!-- a --!><p>The end.</p></article>", "Text of the article.\nMore of it.\nThe end."),
+    ("<article><p>E = <math><mi>m</mi>c2</math> is known to all.</p><noscript><p>Shown without scripts.</p></noscript></article>", "E = mc2 is known to all.\nShown without scripts."),
+    ('<article><p class="x>A quote that never closes.</p></article>', "A quote that never closes."),
+    ("<article><p>One.<script>if (a</scripty>) '<p>no'</script><p>Two.</p></article>", "One.\nTwo."),
+])
+def test_html_has_no_limits_on_tags_and_depth(page, want):
+    assert html_crf.extract(page, html_crf.train()) == want
+
+
+class Plain(HTMLParser):
+    """Leaf blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.raw = [], [], 0
+
+    def flush(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] * bool(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_crf.BLOCK or tag == "hr":
+            self.flush()
+        self.raw += tag in ("script", "style")
+        self.now += [" "] * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.raw -= tag in ("script", "style")
+        if tag in html_crf.BLOCK:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.now.append(data)
+
+
+def best_states(model, blocks):
+    """The most probable states by trying all."""
+    scores = [sum(model.scores.get(k, 0.0) * v for k, v in f.items()) for f in blocks]
+    worth = lambda y: model.start[y[0]] + sum(e for e, a in zip(scores, y) if a) + sum(model.move[a, b] for a, b in zip(y, y[1:]))
+    return list(max(product((0, 1), repeat=len(blocks)), key=worth)) if blocks else []
+
+
+def test_html_rows_equal_a_plain_reader_and_exhaustive_decoding(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {(r.page_id, r.url): r for r in html_crf.extract_table(rows).collect()}
+    model, tried = html_crf.train(), 0
+    for r in rows.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.flush()
+        blocks = html_crf.read(r.html or "")
+        assert [t for t, _ in blocks] == plain.blocks
+        if len(blocks) <= 14:
+            tried += 1
+            text = "\n".join(t for t, y in zip(plain.blocks, best_states(model, [f for _, f in blocks])) if y)
+            assert (got[r.page_id, r.url].text, got[r.page_id, r.url].n_chars) == (text, len(text))
+    assert tried > 40
+
+
+def accuracy(decode, kind: str) -> float:
+    right = []
+    for page, truth in held_out(kind, 120):
+        want, k = truth.split("\n"), 0
+        blocks = html_crf.read(page)
+        for (text, _), good in zip(blocks, decode([f for _, f in blocks])):
+            is_next = k < len(want) and text == want[k]
+            k += is_next
+            right.append(is_next == bool(good))
+    return float(np.mean(right))
+
+
+def test_the_chain_beats_the_rule_and_independent_blocks_on_held_out_pages():
+    chain = html_crf.train()
+    alone = html_crf.Chain().fit(html_crf.labelled_pages(html_crf.PAGES, html_crf.SEED), linked=False)
+    rule = lambda blocks: ["deepest=content" in f for f in blocks]
+    got = {kind: [accuracy(f, kind) for f in (rule, alone.decode, chain.decode)] for kind in ("named", "unnamed", "misnamed")}
+    assert got["named"][2] > 0.99
+    assert got["unnamed"][2] > 0.98 and got["unnamed"][2] > got["unnamed"][1] + 0.03 and got["unnamed"][1] > got["unnamed"][0] + 0.1
+    assert got["misnamed"][2] > got["misnamed"][1] + 0.05 > got["misnamed"][0] + 0.1
+
+
 def test_html_closes_at_any_depth_and_reads_whole_blocks_and_tags():
     rows = "".join(f"<tr><td>cell {i}<td>value {i}" for i in range(200))
     page = f"<nav><table>{rows}</table></nav><article><p>Inside.</p><table>{rows.replace('cell', 'own')}</table></article><p>Outside.</p>"

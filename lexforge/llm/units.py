@@ -9,15 +9,19 @@ had in the original text. Shorter runs stay: sentences of a few words recur in u
 Scale: units travel as two longs, a position and offsets, never as text. Grouping is a partial aggregation, so a unit in a
 third of all documents is one row for each task; the join that marks occurrences can split a hot digest.
 
+Units are found by forward search, so a text costs its length, whatever runs of marks it holds.
+
 Edge cases: null text has no units; wordless units are skipped; a repeat inside one document is removed like any other; rows
 equal in doc_id and text are one document and mark nothing in each other; null doc_id ranks first; a text of any length
-is cut whole; an empty table gives an empty result; columns besides doc_id and text are kept by ``dedup_units``.
+is cut whole; an empty table gives an empty result; columns besides doc_id and text are kept by
+``dedup_units``, whatever their names, but ``removed``, which is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +29,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, text_or_empty
+from .common import materialize, row_hash
 
 MIN_WORDS = 20
-#: A unit: up to a sentence end that white space follows, or to the end of the line.
-UNIT = re.compile(r"[^\n]+?(?:[.!?…。]+(?=\s)|(?=\n)|\Z)")
+#: Where a unit ends: after sentence marks that white space follows, or before a line end. A run of marks is looked at once, from its first mark.
+ENDS = re.compile(r"(?<![.!?…。])[.!?…。]++(?=[ \t\n\x0b\f\r])|\n")
+BLANK = " \t\n\x0b\f\r"
 
 
 def cut(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of ``text``; the ends exclude surrounding white space."""
-    for m in UNIT.finditer(text):
-        unit = m.group()
-        body = unit.strip()
+    at = 0
+    for end in chain((m.end() for m in ENDS.finditer(text)), (len(text),)):
+        unit = text[at:end]
+        body = unit.strip(BLANK)
         if words := body.encode("utf-8", "surrogatepass").lower().split():
-            start = m.start() + len(unit) - len(unit.lstrip())
+            start = at + len(unit) - len(unit.lstrip(BLANK))
             yield start, start + len(body), len(words), xxhash.xxh3_128_digest(b" ".join(words))
+        at = end
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -102,6 +109,9 @@ def without(text: Column, spans: Column) -> Column:
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeats cut out of ``text``, and ``removed``: the spans they had in the original text."""
     spans = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("__s"))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "removed")]
-    joined = docs.withColumn("__h", row_hash()).join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left")
-    return joined.select(*rest, F.when(F.col("__s").isNull(), F.col("text")).otherwise(without(text_or_empty(), F.col("__s"))).alias("text"), F.col("__s").alias("removed"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "removed")]
+    rows = docs.select(F.struct(*rest, "doc_id", "text").alias("row"), F.col("doc_id").alias("__i"), row_hash().alias("__h"))
+    joined = rows.join(spans, F.col("__i").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left")
+    text = F.col("row.text")
+    new = F.when(F.col("__s").isNull(), text).otherwise(without(F.coalesce(text, F.lit("")), F.col("__s")))
+    return joined.select(*[F.col("row").getField(c).alias(c) if c != "text" else new.alias("text") for c in docs.columns if c != "removed"], F.col("__s").alias("removed"))

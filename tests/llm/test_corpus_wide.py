@@ -120,15 +120,16 @@ def contamination_of(text: str | None) -> tuple:
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("slice_bytes", [decontaminate.SLICE_BYTES, 60])
-def test_contamination(spark, hard_rows, slice_bytes, monkeypatch):
+@pytest.mark.parametrize("slice_words, piece", [(decontaminate.SLICE_WORDS, decontaminate.PIECE), (14, 3)])
+def test_contamination(spark, hard_rows, slice_words, piece, monkeypatch):
     extra = [(500, "x THE quick; brown fox jumps over-the lazy dog near the river bank today while birds y"), (501, "a short item\nhere, short item here"), (502, "other text other text"), (503, "NULL ID ITEM"), (504, "lazy dog near the river bank today while birds sing")]
     rows = [(r[0], r[1], 7) for r in hard_rows] + [(i, t, 7) for i, t in extra]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string, n_words long"), spark.createDataFrame(ITEMS, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.find_hits, "__defaults__", (slice_bytes,))
+    monkeypatch.setattr(decontaminate.find_hits, "__defaults__", (slice_words,))
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     got = decontaminate.contamination_table(docs, bench).collect()
     assert Counter(tuple(r) for r in got) == Counter((d, *contamination_of(t)) for d, t, _ in rows)
-    clean = decontaminate.decontaminate(docs, bench, slice_bytes)
+    clean = decontaminate.decontaminate(docs, bench, slice_words)
     assert clean.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((d, t) for d, t, _ in rows if not contamination_of(t)[-1])
     assert decontaminate.contamination_table(docs, bench.limit(0)).filter("contaminated").count() == 0

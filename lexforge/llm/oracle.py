@@ -47,14 +47,15 @@ UNITS = f"""WITH l AS (SELECT doc_id, ord AS li, line, sum(length(line) + 1) OVE
  r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n JOIN f USING (g) WHERE doc_id * 1000000 + i > first)
  SELECT doc_id, CAST(min(s) AS BIGINT) AS start, CAST(max(s + n) AS BIGINT) AS "end", CAST(count(*) AS BIGINT) AS n_units, CAST(sum(words) AS BIGINT) AS n_words, min_by(first_doc_id, i) AS first_doc_id FROM r GROUP BY doc_id, run HAVING sum(words) >= {units.MIN_WORDS}"""
 
-_K = winnow.LINES
-#: Windows of lines that occurred earlier, merged where they touch.
-LINES = f"""WITH l AS (SELECT doc_id, ord - 1 AS l, trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)),
- n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l) - 1 AS i FROM l WHERE s <> ''),
- w AS (SELECT doc_id, i, l AS l0, lead(l, {_K - 1}) OVER o AS l1, {" || chr(10) || ".join(["s", *[f"lead(s, {j}) OVER o" for j in range(1, _K)]])} AS g FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
- f AS (SELECT g, min(doc_id * 1000000 + i) AS first, min_by(doc_id, doc_id * 1000000 + i) AS first_doc_id, min_by(l0, doc_id * 1000000 + i) AS first_line FROM w WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1),
- r AS (SELECT * FROM w JOIN f USING (g) WHERE doc_id * 1000000 + i > first),
- q AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {_K} THEN 0 ELSE 1 END AS fresh FROM r))
+_K, _L = winnow.WORDS, "trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ')"
+#: Windows of one to three lines that occurred earlier, merged where they touch.
+LINES = f"""WITH l AS (SELECT doc_id, ord - 1 AS l, {_L} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l) - 1 AS i, len(string_split(s, ' ')) AS c FROM l WHERE s <> ''),
+ w AS (SELECT doc_id, i, l AS l0, CASE WHEN c >= {_K} THEN 1 WHEN c + lead(c) OVER o >= {_K} THEN 2 ELSE {winnow.LINES} END AS k, l, s, lead(l) OVER o AS la, lead(s) OVER o AS sa, lead(l, 2) OVER o AS lb, lead(s, 2) OVER o AS sb FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ v AS (SELECT doc_id, i, i + k - 1 AS e, l0, CASE k WHEN 1 THEN l WHEN 2 THEN la ELSE lb END AS l1, CASE k WHEN 1 THEN s WHEN 2 THEN s || chr(10) || sa ELSE s || chr(10) || sa || chr(10) || sb END AS g FROM w),
+ f AS (SELECT g, min(doc_id * 1000000 + i) AS first, min_by(doc_id, doc_id * 1000000 + i) AS first_doc_id, min_by(l0, doc_id * 1000000 + i) AS first_line FROM v WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1),
+ r AS (SELECT * FROM v JOIN f USING (g) WHERE doc_id * 1000000 + i > first),
+ q AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(e) OVER (PARTITION BY doc_id ORDER BY i) <= 1 THEN 0 ELSE 1 END AS fresh FROM r))
  SELECT doc_id, CAST(min(l0) AS BIGINT) AS start_line, CAST(max(l1) AS BIGINT) AS end_line, CAST(max(l1) - min(l0) + 1 AS BIGINT) AS n_lines, min_by(first_doc_id, i) AS first_doc_id, CAST(min_by(first_line, i) AS BIGINT) AS first_line FROM q GROUP BY doc_id, run"""
 
 

@@ -250,16 +250,18 @@ def test_unit_dedup(spark, hard_rows, empty):
 
 
 def line_runs(rows) -> dict:
-    docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0))
+    """Lines inside windows that occurred earlier, by trying every window."""
     seen, out = set(), {}
-    for d, t in docs:
+    for d, t in ranked(rows):
         lines = [(re.sub(r"[ \t\x0b-\r]+", " ", x).strip(" "), i) for i, x in enumerate(t.split("\n"))]
         lines = [(x, i) for x, i in lines if x]
         gone = set()
-        for k in range(len(lines) - 2):
-            g = tuple(x for x, _ in lines[k : k + 3])
-            gone |= {k, k + 1, k + 2} if g in seen else set()
-            seen.add(g)
+        for k in range(len(lines)):
+            size = next((n for n in (1, 2) if k + n <= len(lines) and sum(len(x.split(" ")) for x, _ in lines[k : k + n]) >= winnow.WORDS), 3)
+            if k + size <= len(lines):
+                g = tuple(x for x, _ in lines[k : k + size])
+                gone |= set(range(k, k + size)) if g in seen else set()
+                seen.add(g)
         runs = []
         for k in sorted(gone):
             if runs and k == runs[-1][1] + 1:
@@ -272,23 +274,26 @@ def line_runs(rows) -> dict:
 
 def test_line_dedup(spark, hard_rows, empty):
     block = "\n".join(f"common line {i}" for i in range(5))
-    rows = [(r[0], r[1], r[4]) for r in hard_rows if r[0] != 12] + [(900, f"a\n{block}\nb", 1), (901, f"c\n\n{block}\n\nd", 1), (902, block, 1), (903, "\n".join(["x"] * 9), 1), (904, "p\ncommon line 1\ncommon line 2\nq", 1)]
+    long = "a passage of one line with more than fifty words " + " ".join(f"word{i}" for i in range(50))
+    rows = [(r[0], r[1], r[4]) for r in hard_rows] + [(905, f"top\n{long}\nmid", 1), (906, f"{long}\nx", 1), (907, long, 1), (12, hard_rows[12][1] + "\nwith a tail", 1), (900, f"a\n{block}\nb", 1), (901, f"c\n\n{block}\n\nd", 1), (902, block, 1), (903, "\n".join(["x"] * 9), 1), (904, "p\ncommon line 1\ncommon line 2\nq", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
-    got = defaultdict(list)
+    got, want = defaultdict(list), defaultdict(list)
     for r in winnow.line_table(docs).collect():
         got[r.doc_id].append((r.start_line, r.end_line))
-    want = line_runs(rows)
-    assert {d: sorted(v) for d, v in got.items()} == {d: v for (d, _), v in want.items() if v}
+    for (d, _), v in line_runs(rows).items():
+        want[d] += v
+    assert {d: sorted(v) for d, v in got.items()} == {d: sorted(v) for d, v in want.items() if v}
+    assert 905 not in got and got[906] == [(0, 0)] and got[907] == [(0, 0)]
     assert got[901] and got[903] and 904 not in got
     kept = {(r.doc_id): r for r in winnow.dedup_lines(docs).collect()}
-    assert 902 not in kept and kept[901].text == "c\n\n\nd" and kept[901].n_chars == 5 and kept[900].text == f"a\n{block}\nb"
+    assert 902 not in kept and 907 not in kept and kept[906].text == "x" and kept[901].text == "c\n\n\nd" and kept[901].n_chars == 5 and kept[900].text == f"a\n{block}\nb"
     assert winnow.line_table(empty).count() == 0 and winnow.dedup_lines(empty).columns == empty.columns
 
 
 def test_winnowing_selects_from_every_window(spark):
-    docs = spark.createDataFrame([(1, "\n".join(f"line {i * 7919 % 101}" for i in range(60)))], "doc_id long, text string")
-    rows = winnow.windows(docs).orderBy("i").collect()
-    assert len(rows) == 58 and sum(r.new for r in rows) < 45
+    docs = spark.createDataFrame([(1, "\n".join(f"line {i * 7919 % 101}" for i in range(60))), (2, ""), (3, "one\ntwo")], "doc_id long, text string")
+    rows = winnow.positions(docs).orderBy("p").collect()
+    assert sum(len(r.w) for r in rows) == 58 and len(rows) < 45 and len({r.p for r in rows}) == len(rows) and all(w.i <= r.p <= w.e for r in rows for w in r.w)
 
 
 def test_pipeline(spark, sf_dir):

@@ -10,9 +10,16 @@ join does not emit pairs: a search starts from one fingerprint, takes away all i
 the bucket's links come out as one star for each connected part. That loses no connection and gives at most one row for
 each member. Copies meet before the search: only distinct fingerprints enter it.
 
+Hot buckets: a signature's bucket is made of the fingerprints with either value of the deleted bit, so counting the exact segments (two rows for each
+fingerprint) tells which signatures are hot. In those the other segment is cut into ``CUTS`` parts; three differing bits leave one part equal, so the bucket
+is split by part and value without losing a link. Distinct fingerprints of such a split differ in few free bits, and no other bucket holds more than ``HOT``.
+
+Ties (equal ranks) are rows equal in id and text, of which one stays.
+
 Edge cases: null or wordless text has fingerprint zero, linked like any other; texts of one or two words are
 one shingle; texts of any length are hashed whole, in bounded chunks; null doc_ids join components but never name one unless
-all of it are null; repeated rows get the same answer; an empty table gives an empty result.
+all of it are null; repeated rows get the same answer; an empty table gives an empty result; columns besides doc_id and text are ignored by ``simhash_table``
+and kept by ``simhash_dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +30,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, same_columns
+from .common import checked_broadcast, materialize, row_hash
 from .components import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -34,6 +41,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 CHUNK = 1 << 15
 #: Buckets up to this size are compared pair by pair, many buckets at once.
 SMALL = 8
+#: Fingerprints that share a segment, beyond which its buckets are split, and the parts of the other segment.
+HOT, CUTS = 20_000, 4
 
 
 def fingerprint(text: bytes) -> int:
@@ -66,12 +75,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def signatures(nodes: DataFrame) -> DataFrame:
     """64 rows (key, fp) for each fingerprint: number of the deleted bit, and the rest of its segment; no two meanings share a key."""
-    bit = F.col("bit")
-    segment = F.when(bit < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
+    return nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(_key(F.col("fp"), F.col("bit")).alias("key"), "fp")
+
+
+def _key(fp: Column, bit: Column) -> Column:
+    segment = F.when(bit < 32, fp.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(fp, 32))
     rest = segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)))))
-    return nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        F.call_function("shiftleft", bit.cast("long"), F.lit(32)).bitwiseOR(rest).alias("key"), "fp"
-    )
+    return F.call_function("shiftleft", bit.cast("long"), F.lit(32)).bitwiseOR(rest)
+
+
+def buckets(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of ``signatures`` with ``part``: null, or in hot buckets one row for each part of the other segment, numbered and with its value."""
+    halves = nodes.select(F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("s")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("s")))).alias("x"))
+    full = materialize(halves.groupBy("x.half", "x.s").agg(F.count("*").alias("n")).filter(F.col("n") > hot // 2))
+    rows, n = signatures(nodes), full.count()
+    if not n:
+        return rows.withColumn("part", F.lit(None).cast("int"))
+    bits = full.select("half", "s", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("b"))
+    whole = F.when(F.col("half") == 0, F.col("s")).otherwise(F.call_function("shiftleft", F.col("s"), F.lit(32)))
+    keys = bits.select(_key(whole, F.col("half") * 32 + F.col("b")).alias("hot")).distinct()
+    other = F.when(F.shiftrightunsigned("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    width = 32 // CUTS
+    cuts = F.array(*[F.lit(i << width) + F.shiftrightunsigned(other, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(CUTS)])
+    marked = rows.join(checked_broadcast(keys, 32 * n), F.col("key") == F.col("hot"), "left")
+    return marked.select("key", "fp", F.explode_outer(F.when(F.col("hot").isNotNull(), cuts)).alias("part"))
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +141,7 @@ def _bucket_edges(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.empty((2, 0), np.uint64)
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints of ``nodes`` (fp) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +167,10 @@ def links(nodes: DataFrame) -> DataFrame:
         if held:
             yield edges()
 
-    return signatures(nodes).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a bigint, b bigint")
+    rows = buckets(nodes, hot)
+    # the part goes into the key's free upper bits: 6 bits number the deleted bit, 10 the part
+    key = F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("key").bitwiseOR(F.call_function("shiftleft", (F.col("part") + 1).cast("long"), F.lit(38))))
+    return rows.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(prints: DataFrame) -> DataFrame:
@@ -163,5 +193,6 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
     kept = prints.join(components(prints), "fp").groupBy("label").agg(F.min(rank).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__d"), F.col("k.h").alias("__k"))
-    rows = docs.withColumn("__h", row_hash()).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.lit(0)))).filter("__n = 1")
-    return same_columns(rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left_semi"), docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), row_hash().alias("h"))
+    rows = rows.join(kept, F.col("i").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__k")), "left_semi")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("i", "h").orderBy(F.lit(0)))).filter("n = 1").select("row.*")

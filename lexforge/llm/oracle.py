@@ -60,24 +60,27 @@ LINES = f"""WITH l AS (SELECT doc_id, ord - 1 AS l, {_L} AS s FROM (SELECT doc_i
 
 
 _PRIME = "CASE " + " ".join(f"WHEN nf % {p} <> 0 THEN {p}" for p in mixing.PRIMES) + " END"
-#: Every seat is ranked here; the query ranks only those that the bracketing divisors leave open.
-MIX = f"""WITH d AS (SELECT *, md5(concat_ws(':', doc_id, size, '{mixing.SEED}')) AS h FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS size FROM documents)),
+#: Every seat is ranked here; the query ranks only those that the bracketing divisors leave open. Shards are runs of ranked seats, words are followed one by one over blocks.
+MIX = f"""WITH d AS (SELECT *, md5(concat_ws(':', doc_id, size, md5(text), '{mixing.SEED}')) AS h FROM (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS size FROM documents)),
  s AS (SELECT source, sum(size) AS n, [{', '.join(f'{w}.0::DOUBLE' for w in mixing.WEIGHTS)}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS w FROM d GROUP BY source),
  f AS (SELECT *, {mixing.REPEAT} * CAST(n AS DOUBLE) AS cap, {mixing.REPEAT} * CAST(n AS DOUBLE) / w AS fill FROM s),
  l AS (SELECT *, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS ow, sum(CAST(n AS DOUBLE)) OVER () - coalesce(sum(cap) OVER o, 0) AS lf FROM f WINDOW o AS (ORDER BY fill, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  v AS (SELECT lf, ow FROM l WHERE lf / ow <= fill ORDER BY fill, source IS NULL, source LIMIT 1),
  t AS (SELECT source, n, CASE WHEN fill < v.lf / v.ow THEN cap ELSE v.lf * w / v.ow END AS target FROM l, v),
  b AS (SELECT *, CAST(greatest({mixing.LEAST_BLOCK}, ceil(sum(n) OVER () / {1 << 30}.0)) AS BIGINT) AS block FROM t),
+ z AS (SELECT CAST(round(sum(n) / max(block)) AS BIGINT) AS seats, greatest(1, least({mixing.SHARDS}, CAST(round(sum(n) / max(block)) AS BIGINT) // {mixing.SHARD_BLOCKS})) AS shards FROM b),
  r AS (SELECT source, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source IS NULL, source, seat) AS place FROM b, unnest(range(1, CAST({mixing.REPEAT} * ceil(n / block) AS BIGINT) + 1)) u(seat)),
- q AS (SELECT b.*, (SELECT count(*) FROM r WHERE r.source IS NOT DISTINCT FROM b.source AND place <= (SELECT round(sum(n) / max(block)) FROM b)) AS q FROM b),
- k AS (SELECT *, CAST(least(q * block, {mixing.REPEAT} * n) AS BIGINT) AS words, CAST(n // block AS BIGINT) AS nf FROM q),
- m AS (SELECT *, words // n AS passes, words % n AS rest, {_PRIME} AS prime FROM (SELECT *, greatest(nf, 1) AS np FROM k WHERE n > 0)),
+ q AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY source ORDER BY k), 0) AS since FROM (SELECT y.source, k, count(place) AS upto FROM (SELECT b.source, k, CASE WHEN k = shards - 1 THEN seats ELSE CAST(floor(seats * (k + 1) / shards) AS BIGINT) END AS e FROM b, z, unnest(range(0, shards)) x(k)) y
+   LEFT JOIN r ON r.source IS NOT DISTINCT FROM y.source AND place <= e GROUP BY ALL)),
+ k AS (SELECT b.*, CAST(least(top * block, {mixing.REPEAT} * n) AS BIGINT) AS words, CAST(n // block AS BIGINT) AS nf, greatest(n // block, 1) AS np FROM b JOIN (SELECT source, max(upto) AS top FROM q GROUP BY source) g ON g.source IS NOT DISTINCT FROM b.source),
+ m AS (SELECT *, {_PRIME} AS prime FROM k WHERE n > 0),
  p AS (SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS a FROM d),
- x AS (SELECT doc_id, size, p.source, a, i, block, rest, CASE WHEN i < nf THEN ((i % np) * (prime % np) + {mixing.SEED} % np) % np ELSE nf END AS place
-   FROM p JOIN m ON m.source IS NOT DISTINCT FROM p.source, unnest(range(a // block, CASE WHEN size > 0 THEN (a + size - 1) // block + 1 ELSE a // block END)) u(i)),
- y AS (SELECT doc_id, sum(greatest(0, least(a + size, i * block + greatest(0, least(block, rest - place * block))) - greatest(a, i * block))) AS part FROM x GROUP BY doc_id)
- SELECT p.doc_id, p.source, CAST(p.size AS BIGINT) AS size, CAST(b.n AS BIGINT) AS source_size, b.target, CAST(coalesce(passes, 0) * p.size + coalesce(part, 0) AS BIGINT) AS taken
- FROM p JOIN b ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM p.source LEFT JOIN y ON y.doc_id = p.doc_id"""
+ x AS (SELECT doc_id, p.source, block, words, j * n + block * (CASE WHEN i < nf THEN ((i % np) * (prime % np) + {mixing.SEED} % np) % np ELSE nf END) + greatest(a, i * block) - i * block AS t, least(a + size, (i + 1) * block) - greatest(a, i * block) AS len
+   FROM p JOIN m ON m.source IS NOT DISTINCT FROM p.source, unnest(range(a // block, CASE WHEN size > 0 THEN (a + size - 1) // block + 1 ELSE a // block END)) u(i), unnest(range({mixing.REPEAT})) w(j)),
+ c AS (SELECT doc_id, k, sum(least(t + len, words, upto * block) - greatest(t, since * block)) AS part FROM x JOIN q ON q.source IS NOT DISTINCT FROM x.source AND greatest(t, since * block) < least(t + len, words, upto * block) GROUP BY doc_id, k),
+ y AS (SELECT doc_id, sum(part) AS part, string_agg(k || ':' || CAST(part AS BIGINT), ',' ORDER BY k) AS shards FROM c GROUP BY doc_id)
+ SELECT p.doc_id, p.source, CAST(p.size AS BIGINT) AS size, CAST(b.n AS BIGINT) AS source_size, b.target, CAST(coalesce(part, 0) AS BIGINT) AS taken, coalesce(shards, '') AS shards
+ FROM p JOIN b ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN y ON y.doc_id = p.doc_id"""
 
 
 def quality_sql() -> str:

@@ -56,7 +56,8 @@ def test_simhash_over_hard_rows(hard, hard_rows, empty):
     assert simhash.simhash_table(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
 
 
-def test_links_lose_no_connection_in_dense_buckets(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 8])
+def test_links_lose_no_connection_in_dense_buckets(spark, hot):
     r = np.random.default_rng(3)
     prints = set(map(int, r.integers(0, 2**63, 150, np.uint64)))
     centre = int(r.integers(0, 2**63))
@@ -67,7 +68,7 @@ def test_links_lose_no_connection_in_dense_buckets(spark):
         prints.add(p)
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     nodes = spark.createDataFrame(signed, "fp bigint")
-    labels = {x.node: x.label for x in components.connected(simhash.links(nodes)).collect()}
+    labels = {x.node: x.label for x in components.connected(simhash.links(nodes, hot)).collect()}
     got, want = defaultdict(set), defaultdict(set)
     comp = components_of(sorted(prints))
     for (s,) in signed:
@@ -169,25 +170,70 @@ def test_mixing_over_hard_rows(hard, hard_rows, empty):
     assert mixing.mix_table(empty).count() == 0 and mixing.mix_filter(empty).count() == 0
 
 
+def seats_of(goal: dict, sizes: dict, seats: int, block: int) -> dict:
+    """Sainte-Lague by giving one seat at a time to the highest quotient."""
+    caps, got = {s: 3 * -(-n // block) for s, n in sizes.items()}, dict.fromkeys(goal, 0)
+    for _ in range(seats):
+        able = [s for s in goal if got[s] < caps[s]]
+        got[min(able, key=lambda s: (-goal[s] / (2 * got[s] + 1), s is None, s or ""))] += 1
+    return got
+
+
+def test_mixing_takes_the_words_that_its_shards_ask_for(spark, hard, hard_rows, monkeypatch):
+    """Word by word: lines, blocks, passes, permutation and shards laid out in plain lists."""
+    monkeypatch.setattr(mixing.quotas, "__defaults__", (mixing.REPEAT, 20))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = {r: len(SPACE_WORD.findall(r[1] or "")) for r in hard_rows}
+    lines = defaultdict(list)
+    for r in hard_rows:
+        o = md5(":".join([*([str(r[0])] if r[0] is not None else []), str(size[r]), md5(r[1] or ""), str(mixing.SEED)]))
+        lines[r[3]].append((o, r[0], size[r]))
+    sums = {s: sum(n for *_, n in rows) for s, rows in lines.items()}
+    goal, block, total = levels(sums), mixing.LEAST_BLOCK, sum(sums.values())
+    seats = round(total / block)
+    shards = seats // 20
+    ends = [seats if k == shards - 1 else seats * (k + 1) // shards for k in range(shards)]
+    upto = [seats_of(goal, sums, e, block) for e in ends]
+    assert shards > 5
+    want = Counter()
+    for s, rows in lines.items():
+        line = [(d, n, w) for _, d, n in sorted(rows, key=lambda x: x[0]) for w in range(n)]
+        full = len(line) // block
+        if not line:
+            continue
+        prime = next(q for q in mixing.PRIMES if max(full, 1) % q)
+        by_place = sorted(range(full), key=lambda b: (b * (prime % full) + mixing.SEED % full) % full)
+        once = [x for b in by_place for x in line[b * block : (b + 1) * block]] + line[full * block :]
+        for t, x in enumerate((once * 3)[: upto[-1][s] * block]):
+            want[(*x, next(k for k in range(shards) if t < upto[k][s] * block))] += 1
+    got = Counter()
+    rows = mixing.mix_filter(hard).collect()
+    for r in rows:
+        for p in r.parts:
+            got.update((r.doc_id, r.size, w, p.shard) for w in range(p.start, p.end))
+    assert got == want and sum(r.taken for r in rows) == sum(want.values())
+
+
 @pytest.mark.parametrize("sizes", [[1000, 10, 10, 10], [5, 5, 5], [0, 100], [1, 2, 3, 4, 5, 6, 7, 8], [10**6, 1, 1]])
 def test_sainte_lague_quotas(spark, sizes):
     rows = [(f"s{i:02d}" if i else None, n) for i, n in enumerate(sizes)]
-    table = mixing.targets(spark.createDataFrame(rows, "source string, source_size long"))
+    by_source = spark.createDataFrame(rows, "source string, source_size long")
+    table = mixing.targets(by_source)
     goal = levels(dict(rows))
-    got = {r.source: r for r in mixing.quotas(table).collect()}
+    quota = mixing.quotas(table, shard_blocks=5)
+    got = {r.source: r for r in quota.collect()}
     for s, n in rows:
         assert abs(got[s].target - goal[s]) < 1e-6 * max(1.0, goal[s])
-    block, total = mixing.LEAST_BLOCK, sum(sizes)
-    seats = round(total / block + 1e-9) if total else 0
-    caps = {s: 3 * -(-n // block) for s, n in rows}
-    want = dict.fromkeys(goal, 0)
-    for _ in range(seats):  # the highest quotients, one seat at a time
-        able = [s for s in goal if want[s] < caps[s]]
-        best = min(able, key=lambda s: (-goal[s] / (2 * want[s] + 1), s is None, s or ""))
-        want[best] += 1
-    assert {s: got[s].q for s in goal} == want
-    shards = mixing.shard_quotas(mixing.quotas(table), 5).groupBy("source").sum("blocks").collect()
-    assert {r.source: r["sum(blocks)"] for r in shards} == want
+    seats = round(sum(sizes) / mixing.LEAST_BLOCK + 1e-9)
+    shards = max(1, min(mixing.SHARDS, seats // 5))
+    ends = [seats if k == shards - 1 else seats * (k + 1) // shards for k in range(shards)]
+    for k, end in list(enumerate(ends))[:: max(1, shards // 8)] + [(shards - 1, seats)] if sum(sizes) < 10**6 else []:
+        assert {s: got[s].upto[k] for s in goal} == seats_of(goal, dict(rows), end, mixing.LEAST_BLOCK)
+    blocks = mixing.shard_quotas(quota).groupBy("source").sum("blocks").collect()
+    assert {r.source: r["sum(blocks)"] for r in blocks} == {s: got[s].q for s in goal}
+    # many sources are ordered by ranges, with the same targets
+    wide = {r.source: r.target for r in mixing.targets(by_source, few=0).collect()}
+    assert wide == pytest.approx({s: r.target for s, r in got.items()})
 
 
 def ranked(rows) -> list[tuple]:
@@ -305,7 +351,7 @@ def test_pipeline(spark, sf_dir):
         ids = {r.doc_id for r in out.select("doc_id").collect()}
         assert 0 < len(ids) <= seen.count() and ids <= {r.doc_id for r in seen.select("doc_id").collect()}
         seen = spark.createDataFrame(out.collect(), out.schema)
-    assert Counter(map(tuple, seen.collect())) == Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
+    assert Counter(map(str, seen.collect())) == Counter(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
@@ -336,8 +382,10 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", clean)
     want = con.execute(f"SELECT d.*, m.size, round(m.target, 6), m.taken FROM ({oracle.MIX}) m JOIN documents d USING (doc_id) WHERE taken > 0").fetchall()
     got = corpus_pipeline.run(spark, sf_dir)
-    assert got.columns == [*columns, "size", "target", "taken"]
-    assert Counter((*r[:6], round(r[6], 6), r[7]) for r in map(tuple, got.collect())) == Counter(map(tuple, want))
+    assert got.columns == [*columns, "size", "target", "taken", "parts"]
+    rows = got.collect()
+    assert Counter((*r[:6], round(r[6], 6), r[7]) for r in map(tuple, rows)) == Counter(map(tuple, want))
+    assert all(r.taken == sum(p.end - p.start for p in r.parts) for r in rows)
 
 
 def test_pipeline_survives_hard_rows(spark, hard, empty, sf_dir):

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 from itertools import product
@@ -144,37 +147,108 @@ def test_pii_over_hard_rows(spark, hard, hard_rows, empty):
     assert pii.redact(one).first().text == "mail [email] or [phone]"
 
 
-def test_secrets(spark, hard, hard_rows, empty):
-    r = random.Random(5)
-    pick = lambda a, n: "".join(r.choice(a) for _ in range(n))
-    alpha = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    rows = [(1000 + i, f"ünï {pick(alpha, 40)} end") for i in range(60)]
-    rows += [(2000 + i, f"x {t} y") for i, t in enumerate(["usr/local/share/python3/site2-packages", "aaaaaaaaaaaaaaaaaaaa1111", "abcdefghijklmnopqrstuvwxyz0123456789", "InternationalizationHelper2Impl04"] * 8)]
-    rows += [(3000, "token: \"abc\" password=secret:xxxxxxxxxxxx API_KEY = 'abcdefgh1' AKIAABCDEFGHIJKL AKIAABC " + "0123456789abcdef" * 3)]
-    docs = hard.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+def bare_score(token: str) -> tuple[int, int]:
+    """(class, cell) of a token by the four tests, in plain Python."""
+    s = token.rstrip("=")
+    e = next(i for i, (_, form, _) in enumerate(secrets.ENCODINGS) if not form or re.search(form, s))
+    alphabet, n = secrets.ENCODINGS[e][2], len(s)
+    body = s.lower() if e in secrets.FOLDED else s.replace("-", "+").replace("_", "/")
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = lambda x, df: tail(((max(x, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    k, v = len(alphabet), [alphabet.find(c) for c in body]
+    expected = [(sum(c in x for c in body), sum(c in x for c in alphabet) / k * n) for x in secrets.CLASSES]
+    parts = [(o - m) ** 2 / m for o, m in expected if m > 0]
+    p = [chi(sum(parts), len(parts) - 1) if len(parts) > 1 else 0.5, chi(k / n * sum(x * x for x in Counter(v).values()) - n, k - 1)]
+    mean = sum(v) / n
+    power = sum((x - mean) ** 2 for x in v)
+    p.append(2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / power * math.sqrt(n) + 1 / math.sqrt(n))) if power else 0.0)
+    marked = [c in (secrets.HIGH if e == 0 else secrets.VOWELS) for c in body]
+    both = 2 * sum(marked) * (n - sum(marked))
+    spread = math.sqrt(max(both * (both - n) / (n * n * (n - 1)), 1e-9))
+    p.append(2 * tail(abs((sum(a != b for a, b in zip(marked, marked[1:])) - both / n) / spread)) if both > n else 0.5)
+    score = sum(-math.log(max(x, 1e-12)) for x in p)
+    return e * (len(secrets.LENGTHS) + 1) + sum(n >= x for x in secrets.LENGTHS), min(secrets.LAST, max(0, math.floor(score * secrets.CELLS)))
+
+
+def null_tokens(text: str) -> list[str]:
+    w, out = re.findall(r"[A-Za-z]{2,19}|[0-9]{1,19}", text), []
+    title = lambda x: x[:1].upper() + x[1:].lower()
+    for j, at in enumerate(range(0, len(w), secrets.STRIDE), len(w)):
+        x = w[at : at + secrets.REACH]
+        styles = ["".join(x).lower(), "".join(map(title, x)), "_".join(x).lower(), "/".join(x), "".join(x).upper(), "".join(f"{y}{at}" for y in x).lower(), "-".join(map(title, x)), re.sub("[a-f]", "", hashlib.sha512(" ".join(x).encode()).hexdigest())]
+        out.append(styles[j % 8][: secrets.NULL_LENGTHS[(j // 8 + len(w)) % 8]])
+    return [t for t in out if len(t) >= secrets.LEAST]
+
+
+def all_secrets(rows: list[tuple]) -> dict:
+    """Every row's spans: candidates against the null of their class, stepped up over the corpus."""
+    null, cands, base = defaultdict(list), [], {}
+    for d, t in rows:
+        base[d] = [(m.start(), o, m.end()) for o, (_, p, ok) in enumerate(SECRETS) for m in re.finditer(p, t) if ok(m)]
+        for x in null_tokens(t):
+            c, cell = bare_score(x)
+            null[c].append(cell)
+        for m in re.finditer(secrets.CANDIDATE, t):
+            if all(m.end() <= a or b <= m.start() for a, _, b in base[d]):
+                cands.append((d, m.start(), m.end(), *bare_score(m[0])))
+    sizes = len(secrets.LENGTHS) + 1
+
+    def p(c: int, cell: int) -> float:
+        kin = [x for k, v in null.items() if k // sizes == c // sizes for x in v]
+        of = next(x for x in (null[c], kin, [x for v in null.values() for x in v]) if len(x) >= secrets.ENOUGH)
+        return (sum(x <= cell for x in of) + 1) / (len(of) + 1)
+
+    values = sorted(p(c[3], c[4]) for c in cands)
+    most = max((v for i, v in enumerate(values, 1) if v <= secrets.LEVEL * bisect_right(values, v) / len(values)), default=-1.0)
+    out = {d: list(b) for d, b in base.items()}
+    for d, a, b, c, cell in cands:
+        if p(c, cell) <= most:
+            out[d].append((a, 3, b))
+    return {d: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(v)) for d, v in out.items()}
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": secrets.UPPER + "234567", "base36": secrets.DIGITS + secrets.LOWER, "base62": secrets.DIGITS + secrets.UPPER + secrets.LOWER, "base64": secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/", "letters": secrets.LOWER}
+WRITTEN = ["usr/local/share/python3/site2-packages", "InternationalizationHelper2Impl04", "some_long_name_of_a_function", "counterrevolutionaries", "20231205123045678901", "com/example/project/module/Class2", "aaaaaaaaaaaaaaaaaaaa1111", "node_modules/react-dom/client", "ABSTRACT_SINGLETON_PROXY_FACTORY_BEAN", "Donaudampfschifffahrtsgesellschaft", "-" * 30, "e" * 25, "1" * 25]
+
+
+def test_secret_rows_equal_brute_force_and_find_planted_keys(spark):
+    r = random.Random(3)
+    rows = [(x.doc_id, x.text or "") for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    at, keys, written = 10**7, {}, []
+    for kind, alphabet in ALPHABETS.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(4):
+                rows.append((at, f"ünï words {''.join(r.choice(alphabet) for _ in range(n))} and more"))
+                keys[at], at = kind, at + 1
+    for x in WRITTEN:
+        rows.append((at, f"see {x} for it"))
+        written, at = [*written, at], at + 1
+    got = {x.doc_id: x for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = all_secrets(rows)
+    assert sum(got[d].spans != want[d] for d in want) <= 2, [(got[d].spans, want[d]) for d in want if got[d].spans != want[d]][:3]  # a score may fall on a cell's edge
+    found = Counter(k for d, k in keys.items() if got[d].n_random)
+    assert sum(found.values()) >= 0.9 * len(keys) and all(found[k] >= 0.75 * 20 for k in ("hex", "base32", "base36", "base62", "base64"))
+    assert not any(got[d].n_random for d in written)
+    assert sum(x.n_random for x in got.values() if x.doc_id < 10**7) <= 3
+
+
+def test_secret_base_spans_over_hard_rows(spark, hard, hard_rows, empty):
+    rows = [(3000, "token: \"abc\" password=secret:xxxxxxxxxxxx API_KEY = 'abcdefgh1' AKIAABCDEFGHIJKL AKIAABC " + "0123456789abcdef" * 3)]
+    docs = hard.select("doc_id", "text", F.lit(1).alias("x"), F.lit(2).alias("base")).unionByName(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, x int, base int"))
     got = secrets.find_secrets(docs).collect()
     want = Counter((d, hashlib.sha256(base_secrets(t or "").encode()).hexdigest()) for d, t, *_ in [*hard_rows, *rows])
     assert Counter((x.doc_id, x.base_sha256) for x in got) == want
-    by_id = {x.doc_id: x for x in got}
-    assert np.mean([by_id[i].n_random for i in range(1000, 1060)]) > 0.85
-    assert all(by_id[2000 + i].n_random == 0 for i in range(32))
-    assert by_id[3000].spans.startswith(base_secrets(rows[-1][1]).split(",")[0])
     assert secrets.find_secrets(empty).count() == 0
 
 
-def test_random_keys_with_few_digits_are_found(spark):
-    r = random.Random(8)
-    alpha = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    keys = []
-    while len(keys) < 80:
-        key = "".join(r.choice(alpha) for _ in range(20))
-        if len(DIGITS(key)) < 2:
-            keys.append(key)
-    words = ["Internationalization", "counterrevolutionaries", "/usr/local/share/package/site", "-" * 30, "some_long_name_of_a_function", "e" * 25, "1" * 25]
-    rows = [(i, f"x {k} y") for i, k in enumerate(keys)] + [(1000 + i, f"x {w} y") for i, w in enumerate(words * 8)]
-    got = {x.doc_id: x.n_random for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] for i in range(80)) > 0.85 * 80
-    assert not any(got[i] for i in got if i >= 1000)
+def test_many_secrets_in_one_text(spark):
+    n = 100_000
+    text = " ".join(f"token=secret{i:06d}" for i in range(n)) + " " + "AKIA" + "A" * 16
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secrets.find_secrets(docs).first()
+    assert (row.n_assign, row.n_access) == (n, 1) and row.base_sha256 == hashlib.sha256(base_secrets(text).encode()).hexdigest()
+    assert time.perf_counter() - began < 60
 
 
 def quality_of(text: str | None) -> tuple:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +26,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Folder of the tables of the piece of work in hand; without one they lie under the application's id.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts lineage, lets several consumers share one pass over the text, and outlives lost executors.
-    The tables lie under ``<spark.checkpoint.dir>/tables/<application id>`` until ``sweep`` removes them.
+    The tables lie under ``<spark.checkpoint.dir>/tables/<application id>``, until ``sweep`` removes them, or in the folder of a ``scope``, until that ends.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    at = _scope.get() or f"{shared_root(spark)}/tables/{spark.sparkContext.applicationId}"
+    path = f"{at}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it exists."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are removed at its end; what is made of them must have been written by then."""
+    path = f"{shared_root(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove(spark, path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove this application's materialized tables; call it once their readers have finished."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_root(spark)}/tables/{spark.sparkContext.applicationId}"
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    remove(spark, f"{shared_root(spark)}/tables/{spark.sparkContext.applicationId}")
 
 
 def checked_broadcast(df: DataFrame, rows: int, limit: int = 50_000) -> DataFrame:
@@ -52,11 +75,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, whatever characters their names hold."""
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def map_rows(df: DataFrame, run: Callable) -> DataFrame:
     """``mapInArrow`` over all columns of ``df`` by place, since it cannot take names with dots."""
     places = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ import xxhash
 
 import corpus_pipeline
 from lexforge.llm import components, decontaminate, mixing, oracle, simhash, units, winnow
+from lexforge.sources.shared import shared_root
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE_WORD = re.compile(r"[^ \t-\r]+")
@@ -355,6 +357,14 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
+def test_the_pipeline_leaves_only_its_result_in_the_shared_folder(spark, sf_dir):
+    root = Path(shared_root(spark).removeprefix("file://"))
+    tables = lambda: {p for p in root.rglob("*") if (p / "_SUCCESS").exists()}
+    before = tables()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [p.name for p in tables() - before] == ["4_mixing"]
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir):
     """Quality and mixing by DuckDB, the stages between in plain Python."""
     con = duckdb.connect()

@@ -153,10 +153,29 @@ def simplex(spark, steps: int = 20) -> DataFrame:
     return equal.unionByName(rows).select("w_id", *[F.round(f"w{k}", 6).alias(f"w{k}") for k in range(3)])
 
 
-def grouped_cv(ranks: DataFrame, group: str, folds: int = 5, repeats: int = 20, seed: int = 4721) -> DataFrame:
+#: Seed of every drawn order, fold and count.
+SEED = 4721
+
+
+def drawn(*parts: Column | str, seed: int = SEED) -> Column:
+    """A number below 2**28 from the MD5 of ``parts`` and the seed: the same in every engine, at every partitioning."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts], F.lit(str(seed)))), F.lit(7)), 16, 10).cast("long")
+
+
+def poisson_cuts() -> list[float]:
+    """Where a uniform number passes to the next count of a Poisson(1) variable, up to eight."""
+    cuts, p, total = [], 0.36787944117144233, 0.0
+    for k in range(8):
+        total += p
+        cuts.append(total)
+        p /= k + 1
+    return cuts
+
+
+def grouped_cv(ranks: DataFrame, group: str, folds: int = 5, repeats: int = 20, seed: int = SEED) -> DataFrame:
     """STT-03: choose weights on the other folds by (MRR, R@10), score on the fold; groups stay together. (repeat, fold, w_id, mrr, n)."""
-    each = ranks.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    each = each.withColumn("fold", F.pmod(F.xxhash64(group, "repeat", F.lit(seed)), F.lit(folds)))
+    each = ranks.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))))
+    each = each.withColumn("fold", F.pmod(drawn(group, "repeat", seed=seed), F.lit(folds)))
     gain = F.when(within(F.col("hit_rank"), 10), 1.0 / F.col("hit_rank")).otherwise(0.0)
     per = each.groupBy("repeat", "w_id", "fold").agg(F.sum(gain).alias("g"), F.sum(within(F.col("hit_rank"), 10).cast("int")).alias("h"), F.count("*").alias("n"))
     whole = Window.partitionBy("repeat", "w_id")
@@ -172,22 +191,17 @@ def plateau(scores: DataFrame, width: float = 0.005) -> DataFrame:
     return placed.filter(F.col("mrr10") >= F.col("best") - width).drop("best")
 
 
-def paired_bootstrap(pairs: DataFrame, a: Column, b: Column, rounds: int = 5000, seed: int = 4721) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, a: Column, b: Column, rounds: int = 5000, seed: int = SEED) -> DataFrame:
     """STT-05: 95 % interval of the mean difference; each round weighs every pair by a Poisson(1) count drawn from a hash.
 
     Rounds are spread as rows, so pairs are only ever summed: one partial aggregation, nothing collected.
     """
     each = pairs.select((a - b).alias("d"), F.monotonically_increasing_id().alias("i") if "query_id" not in pairs.columns else F.col("query_id").alias("i"))
-    drawn = each.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64("i", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    count = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = drawn.withColumn("c", count).groupBy("round").agg(ratio(F.sum(F.col("c") * F.col("d")), F.sum("c")).alias("m"))
-    return means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p")).select(F.get("p", 0).alias("low"), F.get("p", 1).alias("high"))
+    rows = each.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = drawn("i", "round", seed=seed) / float(1 << 28)
+    count = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in poisson_cuts()), F.lit(0))
+    means = rows.withColumn("u", u).withColumn("c", count).groupBy("round").agg(ratio(F.sum(F.col("c") * F.col("d")), F.sum("c")).alias("m"))
+    return means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p")).select(F.round(F.get("p", 0), 6).alias("low"), F.round(F.get("p", 1), 6).alias("high"))
 
 
 def win_loss(pairs: DataFrame, better: Column, worse: Column) -> DataFrame:
@@ -270,12 +284,12 @@ def dominant_mark(text: Column) -> Column:
     return F.when(best["n"] > 0, best["k"])
 
 
-def stratified(df: DataFrame, group: str, stratum: Column, per_group: int = 6, per_stratum: int | None = None, seed: int = 4721) -> DataFrame:
-    """GRP-05: at most ``per_group`` rows of a group and ``per_stratum`` of a length class, in seeded order."""
-    order = F.xxhash64(*df.columns, F.lit(seed))
-    picked = df.withColumn("stratum", stratum).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(order, *df.columns[:1]))).filter(F.col("__r") <= per_group)
+def stratified(df: DataFrame, group: str, stratum: Column, per_group: int = 6, per_stratum: int | None = None, seed: int = SEED) -> DataFrame:
+    """GRP-05: at most ``per_group`` rows of a group and ``per_stratum`` of a length class, in the seeded order of the first column, which is the key."""
+    order = drawn(df.columns[0], seed=seed)
+    picked = df.withColumn("stratum", stratum).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(order, df.columns[0]))).filter(F.col("__r") <= per_group)
     if per_stratum is not None:
-        picked = picked.withColumn("__s", F.row_number().over(Window.partitionBy("stratum").orderBy(order, *df.columns[:1]))).filter(F.col("__s") <= per_stratum).drop("__s")
+        picked = picked.withColumn("__s", F.row_number().over(Window.partitionBy("stratum").orderBy(order, df.columns[0]))).filter(F.col("__s") <= per_stratum).drop("__s")
     return picked.drop("__r")
 
 

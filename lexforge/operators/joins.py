@@ -85,9 +85,21 @@ def first_in_interval(starts: DataFrame, marks: DataFrame, group: str, at: str,
     return block.withColumn(value, first).filter("__side = 0").drop("__v", "__side", "__block")
 
 
-def touching(left: DataFrame, right: DataFrame, group: str, near: Column, anti: bool = False) -> DataFrame:
-    """JON-13: rows of ``left`` with (or without) a ``right`` row of the same group that satisfies ``near``; groups keep the loop local."""
-    return left.alias("l").join(right.alias("r"), (F.col(f"l.{group}") == F.col(f"r.{group}")) & near, "left_anti" if anti else "left_semi")
+def overlapping_heads(df: DataFrame, key: str, group: str, head: str, same: int = 40) -> DataFrame:
+    """JON-13: the (group, head) of ``df`` whose head equals that of another key, begins it, begins with it, or shares its first ``same`` characters.
+
+    Equality joins only: distinct heads meet by their first ``same`` characters, shorter ones by the prefixes of longer ones, so a common beginning
+    costs its rows once and no two rows of a group are compared.
+    """
+    heads = df.groupBy(group, head).agg(F.count_distinct(key).alias("n"))
+    start = F.left(head, F.lit(same))
+    long = heads.filter(F.length(head) >= same)
+    shared = long.groupBy(group, start.alias("start")).agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    alike = long.withColumn("start", start).join(shared, [group, "start"], "left_semi").select(group, head)
+    cuts = F.explode(F.sequence(F.lit(1), F.least(F.length(head) - 1, F.lit(same - 1))))
+    longer = heads.filter(F.length(head) > 1).select(group, F.col(head).alias("whole"), cuts.alias("at")).select(group, "whole", F.left("whole", F.col("at")).alias(head))
+    pairs = longer.join(heads.select(group, head), [group, head])
+    return heads.filter("n > 1").select(group, head).union(alike).union(pairs.select(group, F.col("whole").alias(head))).union(pairs.select(group, head)).distinct()
 
 
 def paired(a: DataFrame, b: DataFrame, query: str, value: str) -> DataFrame:

@@ -155,11 +155,9 @@ def corpus_diff(spark, sf_dir):
 )
 def theta_overlap(spark, sf_dir):
     """JON-13, TXT-38: documents whose head overlaps another one's of the same language."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left("text", F.lit(90)).alias("head"))
-    # overlapping heads begin alike: the first letter joins the group, so that the loop runs within it
-    d = d.withColumn("group", F.concat_ws(" ", "lang", F.left(T.squeeze(F.lower("head")), F.lit(1))))
-    near = (F.col("l.doc_id") != F.col("r.doc_id")) & T.overlaps(F.col("l.head"), F.col("r.head"))
-    return J.touching(d, d, "group", near).select("doc_id")
+    head = F.left(T.squeeze(F.lower(F.left("text", F.lit(90)))), F.lit(80))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", head.alias("head")).filter("head <> '' AND lang IS NOT NULL")
+    return d.join(J.overlapping_heads(d, "doc_id", "lang", "head"), ["lang", "head"], "left_semi").select("doc_id")
 
 
 @C.add(
@@ -280,9 +278,16 @@ def length_spread(spark, sf_dir):
     return s.select("n", "mean", "median", F.col("max").cast("long").alias("max"))
 
 
-@C.add()
+_ORDER = f"CAST('0x' || left(md5(concat_ws(':', doc_id, {E.SEED})), 7) AS BIGINT), doc_id"
+
+
+@C.add(
+    f"""WITH d AS (SELECT doc_id, source, length(text) AS n, CASE WHEN length(text) < 400 THEN 'kisa' WHEN length(text) < 1200 THEN 'orta' ELSE 'uzun' END AS stratum FROM documents),
+        g AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) <= 6)
+        SELECT doc_id, source, CAST(n AS INTEGER) AS n, stratum FROM g QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {_ORDER}) <= 40"""
+)
 def stratified_quota(spark, sf_dir):
-    """GRP-05: seeded order, so checked by its properties."""
+    """GRP-05: quotas by source and length class, in an order drawn by MD5."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
     return E.stratified(d, "source", T.stratum(F.col("n")), 6, 40)
 

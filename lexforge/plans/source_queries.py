@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexforge.functions import fixed as X
 from lexforge.functions import text as T
 from lexforge.operators import fusion, resolve, retrieval
 from lexforge.sources import lists, paged, sinks
@@ -94,6 +95,55 @@ def decoded_pages(spark, sf_dir):
     return pages.select("page_id", F.sha2(lists.decoded(F.col("c")), 256).alias("digest"))
 
 
+@C.add("SELECT CAST(n_nationkey AS VARCHAR) AS mevzuat_id, '2001-02-' || lpad(CAST(n_nationkey % 28 + 1 AS VARCHAR), 2, '0') AS resmi_gazete_tarihi, CAST(1000 + n_nationkey AS VARCHAR) AS resmi_gazete_sayisi FROM nation")
+def record_cache(spark, sf_dir):
+    """SRC-02, SRC-03, SRC-18: gazette fields from a cache that is one JSON object; a second cache that does not exist adds nothing."""
+    path, key = place(spark, "records"), F.col("n_nationkey").cast("string")
+    day = F.concat(F.lit("2001-02-"), F.lpad((F.col("n_nationkey") % 28 + 1).cast("string"), 2, "0"))
+    record = F.struct(key.alias("mevzuatId"), day.alias("resmiGazeteTarihi"), (1000 + F.col("n_nationkey")).cast("string").alias("resmiGazeteSayisi"))
+    table(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, record)))).alias("value")).coalesce(1).write.text(path)
+    return lists.law_records(spark, path).unionByName(lists.law_records(spark, place(spark, "absent")))
+
+
+@C.add("SELECT o_orderkey, o_orderstatus FROM orders")
+def checked_responses(spark, sf_dir):
+    """SRC-02: rows of responses that all report success; one that does not would fail the query."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.struct(F.lit("SUCCESS").alias("FMTY")).alias("metadata"))
+    return lists.checked_response(rows).select("o_orderkey", "o_orderstatus")
+
+
+@C.add("SELECT 'v' || vec_id AS madde_id, CAST(len(embedding) AS BIGINT) AS n, label FROM embeddings")
+def stored_vectors(spark, sf_dir):
+    """SRC-14, SRC-15: points with both vectors, written and read back; a point without one would fail the query."""
+    path = place(spark, "vectors")
+    sparse = F.create_map(F.lit("token"), F.col("label").cast("float"))
+    table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("madde_id"), F.col("embedding").alias("dense"), sparse.alias("sparse"), "label").write.parquet(path)
+    return lists.vectors(spark, path).select("madde_id", F.size("dense").cast("long").alias("n"), "label")
+
+
+@C.add("SELECT DISTINCT CAST(o_custkey + 1 AS VARCHAR) AS kanun_no, 'EK' || (o_orderkey % 7) AS madde_no FROM orders")
+def cited_keys(spark, sf_dir):
+    """SRC-17: distinct article keys from the first of two paths that exists; leading zeros, spaces, dashes and case go."""
+    path = place(spark, "cited")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("00"), (F.col("o_custkey") + 1).cast("string")).alias("kanun_no"), F.concat(F.lit("ek - "), (F.col("o_orderkey") % 7).cast("string")).alias("madde_no"))
+    rows.unionByName(rows.limit(1).withColumn("madde_no", F.lit(""))).write.json(path)
+    return lists.cited_articles(spark, place(spark, "absent"), path)
+
+
+@C.add(
+    """WITH s AS (SELECT CAST(o_custkey AS VARCHAR) AS kanun_no, '0' AS madde_no, max(o_orderkey) AS last FROM orders GROUP BY ALL),
+       g AS (SELECT 'q' || c_custkey AS ilgi, CAST(c_custkey AS VARCHAR) AS kanun_no, '0' AS madde_no FROM customer)
+       SELECT g.* FROM g JOIN s USING (kanun_no, madde_no) WHERE last % 3 <> 0 ORDER BY md5(concat_ws(':', ilgi, kanun_no, madde_no, 4721)), ilgi LIMIT 50"""
+)
+def gold_in_force(spark, sf_dir):
+    """SRC-16, JON-14: the first fifty gold queries in seeded order whose target's last row is in force."""
+    path = place(spark, "gold")
+    table(spark, sf_dir, "customer").select(F.concat(F.lit("q"), F.col("c_custkey").cast("string")).alias("ilgi"), F.col("c_custkey").cast("string").alias("kanun_no"), F.lit("0").alias("madde_no")).write.json(path)
+    state = F.when(F.col("o_orderkey") % 3 == 0, F.lit(X.REPEALED)).otherwise(F.lit("in force"))
+    rows = table(spark, sf_dir, "orders").select(F.struct(F.col("o_custkey").cast("string").alias("kanun_no"), F.lit("0").alias("madde_no"), state.alias("yurutluk")).alias("metadata"), F.col("o_orderkey").alias("sira"))
+    return lists.gold(spark, path, rows, 50).select("ilgi", "kanun_no", "madde_no")
+
+
 @C.add("SELECT CAST(doc_id AS VARCHAR) AS mevzuat_id, CAST((row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1) % 3 AS INTEGER) AS worker FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 10 <> 0")
 def worklist_shares(spark, sf_dir):
     """SRC-19, SRC-21, STR-01: what neither the cache nor the list of failures holds, dealt to three workers."""

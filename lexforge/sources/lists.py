@@ -118,4 +118,4 @@ def gold(spark: SparkSession, gold_path: str, corpus_rows: DataFrame, n: int, se
     rows = spark.read.schema("ilgi STRING, kanun_no STRING, madde_no STRING").json(gold_path)
     state = corpus_rows.groupBy(F.col("metadata.kanun_no").alias("kanun_no"), F.col("metadata.madde_no").alias("madde_no")).agg(F.max_by("metadata.yurutluk", "sira").alias("yurutluk"))
     eligible = rows.join(state, ["kanun_no", "madde_no"]).filter(F.col("yurutluk") != X.REPEALED)
-    return eligible.orderBy(F.xxhash64("ilgi", "kanun_no", "madde_no", F.lit(seed))).limit(n)
+    return eligible.orderBy(F.md5(F.concat_ws(":", "ilgi", "kanun_no", "madde_no", F.lit(str(seed)))), "ilgi").limit(n)

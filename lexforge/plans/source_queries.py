@@ -126,7 +126,9 @@ def cited_keys(spark, sf_dir):
     """SRC-17: distinct article keys from the first of two paths that exists; leading zeros, spaces, dashes and case go."""
     path = place(spark, "cited")
     rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("00"), (F.col("o_custkey") + 1).cast("string")).alias("kanun_no"), F.concat(F.lit("ek - "), (F.col("o_orderkey") % 7).cast("string")).alias("madde_no"))
-    rows.unionByName(rows.limit(1).withColumn("madde_no", F.lit(""))).write.json(path)
+    blank = table(spark, sf_dir, "nation").select(F.lit("1").alias("kanun_no"), F.lit("").alias("madde_no"))
+    # the file is one JSON array, written once by hand in its source
+    rows.distinct().unionByName(blank).agg(F.to_json(F.collect_list(F.struct("kanun_no", "madde_no"))).alias("value")).coalesce(1).write.text(path)
     return lists.cited_articles(spark, place(spark, "absent"), path)
 
 

@@ -7,8 +7,8 @@ alphabet, chi-squared over character classes (digits, vowels and consonants of e
 A token's score is the sum of the tests' -ln p: near 4 if it is random, far more if it was written.
 
 False-discovery control: the null hypothesis is that a token is no secret. Its distribution is that of the score over tokens made of the corpus's own
-words and numbers, one for each ``STRIDE`` words of every whole text, run together as identifiers, paths and plain strings of all lengths are, and
-counted by encoding and length. A candidate's p-value is the share of such tokens of its encoding and length that look at least as random, so it is calibrated by
+words and numbers, one from each word of every whole text on, run together as identifiers, paths and plain strings of all lengths are (kinds and lengths take turns from word to word), and
+counted by encoding and length: all of them are judged, none is drawn. A candidate's p-value is the share of such tokens of its encoding and length that look at least as random, so it is calibrated by
 length whatever the tests' own approximations; a class with fewer than ``ENOUGH`` of them borrows all of its encoding, then of the corpus.
 Benjamini-Hochberg over all candidates reports those that keep the share of false secrets at ``LEVEL``.
 
@@ -21,6 +21,8 @@ repeated rows get equal answers; an empty table gives an empty result; positions
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 LEAST, LEVEL = 20, 0.05
-#: Words from one null token to the next, words that it may use, and null tokens that a class needs for a distribution of its own.
-STRIDE, REACH, ENOUGH = 64, 20, 200
+#: Words from one null token to the next (every word begins one), words that it may use, and null tokens that a class needs for a distribution of its own.
+STRIDE, REACH, ENOUGH = 1, 20, 200
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
 #: Encoding, its form, its alphabet in order of value.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,12 +53,17 @@ FOLDED = (0, 1, 3)
 #: Character classes, and what the runs test looks at in hexadecimal and elsewhere.
 CLASSES = (DIGITS, "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz")
 HIGH, VOWELS = "89abcdef", "AEIOUaeiou"
+#: All characters, the number of each one's class (5: none), whether it is a vowel, and characters in sequence that stand for values.
+EVERY = DIGITS + UPPER + LOWER + "+/"
+CLASS_OF = "".join(str(next((i for i, c in enumerate(CLASSES) if x in c), 5)) for x in EVERY)
+VOWEL_OF = "".join(str(int(x in VOWELS)) for x in EVERY)
+VALUES = "".join(map(chr, range(48, 112))).replace("\\", "\\\\")
 #: Lengths that begin a class, and those of null tokens.
 LENGTHS = (24, 32, 48, 80)
 NULL_LENGTHS = (20, 24, 28, 32, 40, 48, 64, 80)
 #: Cells for each unit of the score, and the last cell.
 CELLS, LAST = 4, 400
-#: Elements that a running total copies at a time.
+#: Elements that a running total copies at a time, and null tokens whose words go on together.
 PART = 256
 
 
@@ -95,9 +102,10 @@ def apart(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[c for c in columns if c != "tokens"], f"if(size(both) > 0, {free}, tokens) AS tokens")
 
 
-#: Upper tail of the standard normal at z (rational approximation of erfc), with t = 1 / (1 + 0.3275911 |z| / sqrt 2).
-_HALF = "0.5D * y.t * (0.254829592D + y.t * (-0.284496736D + y.t * (1.421413741D + y.t * (-1.453152027D + y.t * 1.061405429D)))) * exp(-y.z * y.z / 2)"
-_TAIL = f"if(y.z >= 0, {_HALF}, 1 - {_HALF})"
+def _tail(z: str, t: str) -> str:
+    """Upper tail of the standard normal at z (rational approximation of erfc), with t = 1 / (1 + 0.3275911 |z| / sqrt 2)."""
+    half = f"0.5D * {t} * (0.254829592D + {t} * (-0.284496736D + {t} * (1.421413741D + {t} * (-1.453152027D + {t} * 1.061405429D)))) * exp(-{z} * {z} / 2)"
+    return f"if({z} >= 0, {half}, 1 - ({half}))"
 
 
 def _total(values: str) -> str:
@@ -106,7 +114,7 @@ def _total(values: str) -> str:
 
 def _pairs(values: str, body: str) -> str:
     """Sum of ``body`` over neighbours ``u`` and ``v``."""
-    return _total(f"zip_with(slice({values}, 1, size({values}) - 1), slice({values}, 2, size({values})), (u, v) -> {body})")
+    return _total(f"zip_with({values}, slice({values}, 2, size({values})), (u, v) -> coalesce({body}, 0D))")
 
 
 def _chi_z(chi2: str, df: str) -> str:
@@ -114,15 +122,20 @@ def _chi_z(chi2: str, df: str) -> str:
     return f"(power(greatest({chi2}, 0D) / {df}, 1D / 3) - (1 - 2 / (9 * {df}))) / sqrt(2 / (9 * {df}))"
 
 
-def _judge(df: DataFrame, column: str) -> DataFrame:
+def _judge(df: DataFrame, column: str | None = None) -> DataFrame:
     """``column``, tokens (start, end, s), as (start, end, class, cell): class numbers encoding and length, cell is the score, the sum of -ln p over the four tests, on the grid.
 
+    Without ``column`` every row is a token ``s`` and becomes (class, cell) by the same steps over columns, which run as compiled code where no lambda is in them.
+
     A step of the tests is a step over the array of tokens. Written as one expression, what several tests share would be computed for each of them; bound by
     lambdas inside lambdas, the plan would take seconds to resolve.
     """
 
     def step(keep: str, **new: str) -> None:
         nonlocal df
+        if column is None:
+            df = df.selectExpr(*keep.split(), *[f"{re.sub(r'\bx[.]', '', v)} AS {c}" for c, v in new.items()])
+            return
         fields = [f"x.{c} AS {c}" for c in ("start", "end", *keep.split())] + [f"{v} AS {c}" for c, v in new.items()]
         df = df.withColumn(column, F.expr(f"transform({column}, x -> struct({', '.join(fields)}))"))
 
@@ -130,96 +143,108 @@ def _judge(df: DataFrame, column: str) -> DataFrame:
     forms = " ".join(f"WHEN rlike(x.s, '{form}') THEN {i}" for i, (_, form, _) in enumerate(ENCODINGS[:-1]))
     step("", s="rtrim('=', x.s)")
     step("s", e=f"CASE {forms} ELSE {len(ENCODINGS) - 1} END", n="CAST(length(x.s) AS DOUBLE)")
+    sizes = [len(a) for *_, a in ENCODINGS]
+    shares = [[sum(y in c for y in a) / len(a) for c in CLASSES] for *_, a in ENCODINGS]
+    step("e n", s=f"CASE WHEN x.e IN ({', '.join(map(str, FOLDED))}) THEN lower(x.s) WHEN x.e = {len(ENCODINGS) - 1} THEN replace(replace(x.s, '-', '+'), '_', '/') ELSE x.s END")
+    line = " ".join(f"WHEN {i} THEN translate(x.s, '{a}', left('{VALUES}', {len(a)}))" for i, (*_, a) in enumerate(ENCODINGS))
+    high = "".join(str(int(c in HIGH)) for c in ENCODINGS[0][2])
     step(
         "e n",
-        s=f"if(x.e IN ({', '.join(map(str, FOLDED))}), lower(x.s), translate(x.s, '-_', '+/'))",
-        a=pick([f"'{a}'" for *_, a in ENCODINGS]),
-        k=pick([f"{len(a)}D" for *_, a in ENCODINGS]),
-        m=f"if(x.e = 0, '{HIGH}', '{VOWELS}')",
+        k=pick([f"{k}D" for k in sizes]),
+        shares=pick([f"array({', '.join(f'{f!r}D' for f in x)})" for x in shares]),
+        df=pick([f"{sum(f > 0 for f in x) - 1}D" for x in shares]),
+        of=f"translate(x.s, '{EVERY}', '{CLASS_OF}')",
+        marked=f"if(x.e = 0, translate(x.s, '{ENCODINGS[0][2]}', '{high}'), translate(x.s, '{EVERY}', '{VOWEL_OF}'))",
+        line=f"CASE x.e {line} END",
+    )
+    without = lambda of, c: f"length(replace({of}, {c}, ''))"
+    part = lambda i: f"if(x.shares[{i}] > 0, power(x.n - {without('x.of', repr(str(i)))} - x.shares[{i}] * x.n, 2D) / (x.shares[{i}] * x.n), 0D)"
+    step(
+        "e n k df line",
+        spread=" + ".join(map(part, range(len(CLASSES)))),
+        high=f"x.n - {without('x.marked', repr('1'))}",
+        changes=f"(2 * x.n - {without('x.marked', repr('01'))} - {without('x.marked', repr('10'))}) / 2",
+        chars="split(x.line, '')",
     )
-    count = lambda of, c: f"CAST(regexp_count({of}, '[{c}]') AS DOUBLE)"
-    classes = ", ".join(f"struct({count('x.s', c)} AS o, {count('x.a', c)} / x.k * x.n AS e)" for c in CLASSES)
     step(
-        "e n k",
-        values="transform(split(x.s, ''), c -> CAST(instr(x.a, c) - 1 AS DOUBLE))",
-        marked="transform(split(x.s, ''), c -> CAST(instr(x.m, c) > 0 AS DOUBLE))",
-        parts=f"transform(filter(array({classes}), c -> c.e > 0), c -> (c.o - c.e) * (c.o - c.e) / c.e)",
+        "e n k df spread high changes",
+        values="transform(x.chars, c -> CAST(ascii(c) AS DOUBLE))",
+        runs=r"transform(regexp_extract_all(array_join(sort_array(x.chars), ''), '(.)\\1*', 0), c -> CAST(length(c) AS DOUBLE))",
     )
     step(
-        "e n k values",
-        squares=_total("transform(array_distinct(x.values), w -> power(CAST(size(filter(x.values, z -> z = w)) AS DOUBLE), 2D))"),
-        mean=f"{_total('x.values')} / x.n",
-        high=_total("x.marked"),
-        changes=_pairs("x.marked", "abs(u - v)"),
-        spread=_total("x.parts"),
-        df="CAST(size(x.parts) - 1 AS DOUBLE)",
+        "e n k df spread high changes",
+        squares="aggregate(x.runs, 0D, (b, y) -> b + y * y)",
+        total=_total("x.values"),
+        square="aggregate(x.values, 0D, (b, y) -> b + y * y)",
+        next=_pairs("x.values", "u * v"),
+        ends="x.values[0] + x.values[size(x.values) - 1]",
     )
     step(
-        "e n k squares high changes spread df",
-        product=_pairs("x.values", "(u - x.mean) * (v - x.mean)"),
-        power=_total("transform(x.values, u -> (u - x.mean) * (u - x.mean))"),
+        "e n k df spread high changes squares",
+        product="x.next - x.total / x.n * (2 * x.total - x.ends) + (x.n - 1) * power(x.total / x.n, 2D)",
+        power="(x.n * x.square - x.total * x.total) / x.n",
         both="2 * x.high * (x.n - x.high)",
     )
     # normal variable and sides of each test; p is set where a test says nothing (0.5) or all (0)
-    test = lambda z, sides, p: f"struct(CAST({z} AS DOUBLE) AS z, {sides}D AS sides, CAST({p} AS DOUBLE) AS p)"
     tests = [
-        test(_chi_z("x.spread", "greatest(x.df, 1D)"), 1, "if(x.df < 1, 0.5D, NULL)"),
-        test(_chi_z("(x.k / x.n * x.squares - x.n)", "(x.k - 1)"), 1, "NULL"),
-        test("abs(x.product / greatest(x.power, 1e-9D) * sqrt(x.n) + 1 / sqrt(x.n))", 2, "if(x.power <= 0, 0D, NULL)"),
-        test("abs((x.changes - x.both / x.n) / sqrt(greatest(x.both * (x.both - x.n) / (x.n * x.n * (x.n - 1)), 1e-9D)))", 2, "if(x.both <= x.n, 0.5D, NULL)"),
+        (_chi_z("x.spread", "greatest(x.df, 1D)"), 1, "if(x.df < 1, 0.5D, NULL)"),
+        (_chi_z("(x.k / x.n * x.squares - x.n)", "(x.k - 1)"), 1, "NULL"),
+        ("abs(x.product / greatest(x.power, 1e-9D) * sqrt(x.n) + 1 / sqrt(x.n))", 2, "if(x.power <= 0, 0D, NULL)"),
+        ("abs((x.changes - x.both / x.n) / sqrt(greatest(x.both * (x.both - x.n) / (x.n * x.n * (x.n - 1)), 1e-9D)))", 2, "if(x.both <= x.n, 0.5D, NULL)"),
     ]
-    step("e n", tests=f"array({', '.join(tests)})")
-    step("e n", tests="transform(x.tests, y -> struct(y.z AS z, y.sides AS sides, y.p AS p, 1 / (1 + 0.3275911D * abs(y.z) / sqrt(2D)) AS t))")
-    step("e n", score=_total(f"transform(x.tests, y -> -ln(greatest(coalesce(y.p, y.sides * ({_TAIL})), 1e-12D)))"))
+    zs, ps = (" ".join(f"{c}{i}" for i in range(len(tests))) for c in "zp")
+    step("e n", **{f"z{i}": f"CAST({z} AS DOUBLE)" for i, (z, _, _) in enumerate(tests)}, **{f"p{i}": f"CAST({p} AS DOUBLE)" for i, (*_, p) in enumerate(tests)})
+    step(f"e n {zs} {ps}", **{f"t{i}": f"1 / (1 + 0.3275911D * abs(x.z{i}) / sqrt(2D))" for i in range(len(tests))})
+    step("e n", score=" + ".join(f"-ln(greatest(coalesce(x.p{i}, {sides}D * ({_tail(f'x.z{i}', f'x.t{i}')})), 1e-12D))" for i, (_, sides, _) in enumerate(tests)))
     length = " + ".join(f"CAST(x.n >= {least} AS INT)" for least in LENGTHS)
     step("", **{"class": f"x.e * {len(LENGTHS) + 1} + {length}", "cell": f"CAST(least({LAST}, greatest(0, floor(x.score * {CELLS}))) AS INT)"})
     return df
 
 
-def _null_tokens(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``text``) and ``nulls``: tokens made of the text's own words and numbers, one for each ``STRIDE`` of them, in the ways that identifiers, paths and plain strings are made."""
-    columns = rows.columns
+def _null_tokens(docs: DataFrame) -> DataFrame:
+    """``s``, a row for each null token: made of every text's own words and numbers, one from each of them on, in the ways that identifiers, paths and plain strings are made."""
     word = f"[A-Za-z]{{2,{LEAST - 1}}}|[0-9]{{1,{LEAST - 1}}}"
-    rows = rows.select("*", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w"))
+    rows = docs.select(F.regexp_extract_all(text_or_empty(), F.lit(word), F.lit(0)).alias("w"))
+    # words go on in parts, with those that the last tokens of a part reach, dealt out to all tasks: the battery costs far more than moving them, and a long text is not one task's work
+    starts = f"if(size(w) > 0, sequence(0, size(w) - 1, {PART * STRIDE}), CAST(array() AS ARRAY<INT>))"
+    rows = rows.select(F.size("w").alias("all"), F.explode(F.expr(f"transform({starts}, p -> struct(p AS p, slice(w, p + 1, {(PART - 1) * STRIDE + REACH}) AS w))")).alias("c"))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the kinds take turns, and begin at another one in every text
-    starts = f"if(size(w) > 0, sequence(0, size(w) - 1, {STRIDE}), CAST(array() AS ARRAY<INT>))"
-    rows = rows.select("*", F.expr(f"transform({starts}, (p, j) -> struct(p AS p, j + size(w) AS j, slice(w, p + 1, {REACH}) AS x))").alias("made"))
+    own = f"sequence(0, least({(PART - 1) * STRIDE}, all - 1 - c.p), {STRIDE})"
+    rows = rows.select("all", F.explode(F.expr(f"transform({own}, (p, j) -> struct(c.p + p AS p, j + CAST(c.p / {STRIDE} AS INT) + all AS j, array_join(slice(c.w, p + 1, {REACH}), ' ') AS x))")).alias("r"))
     styles = [
-        "lower(array_join(r.x, ''))",
-        "array_join(transform(r.x, y -> initcap(y)), '')",
-        "lower(array_join(r.x, '_'))",
-        "array_join(r.x, '/')",
-        "upper(array_join(r.x, ''))",
-        "lower(array_join(transform(r.x, y -> concat(y, r.p)), ''))",
-        "array_join(transform(r.x, y -> initcap(y)), '-')",
-        "regexp_replace(sha2(array_join(r.x, ' '), 512), '[a-f]', '')",  # an arbitrary number
+        "lower(replace(x, ' ', ''))",
+        "replace(initcap(x), ' ', '')",
+        "lower(replace(x, ' ', '_'))",
+        "replace(x, ' ', '/')",
+        "upper(replace(x, ' ', ''))",
+        "lower(concat(replace(x, ' ', CAST(p AS STRING)), p))",
+        "replace(initcap(x), ' ', '-')",
+        "translate(sha2(x, 512), 'abcdef', '')",  # an arbitrary number
     ]
     kind = " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(styles))
-    cut = f"left(CASE r.j % {len(styles)} {kind} END, array({', '.join(map(str, NULL_LENGTHS))})[CAST((floor(r.j / {len(styles)}) + size(w)) % {len(NULL_LENGTHS)} AS INT)])"
-    null = f"filter(transform(made, r -> {cut}), s -> length(s) >= {LEAST})"
-    return rows.select(*columns, F.expr(f"transform({null}, s -> struct(0 AS start, length(s) AS end, s AS s))").alias("nulls"))
+    length = f"element_at(array({', '.join(map(str, NULL_LENGTHS))}), CAST((floor(j / {len(styles)}) + all) % {len(NULL_LENGTHS)} AS INT) + 1)"
+    return rows.selectExpr("all", "r.p", "r.j", "r.x").selectExpr(f"left(CASE j % {len(styles)} {kind} END, {length}) AS s").filter(f"length(s) >= {LEAST}")
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans (start, kind number, end), candidates (start, end, class, cell) and null tokens (class, cell) of every row: the one pass over the text."""
+    """doc_id, base spans (start, kind number, end) and candidates (start, end, class, cell) of every row."""
     rows = place(docs.select("doc_id", text_or_empty().alias("text")), {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "tokens": CANDIDATE})
     kind = lambda i: F.transform(KINDS[i], lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end")))
     rows = rows.withColumn("assign", F.filter("assign", lambda m: F.length(F.regexp_extract(m["s"], ASSIGN, 1)) >= 8))
-    rows = apart(_null_tokens(rows.select("doc_id", "text", F.array_sort(F.concat(kind(0), kind(1), kind(2))).alias("base"), "tokens")))
-    # judged together, null tokens after the candidates, then told apart by their number
-    rows = _judge(rows.select("doc_id", "base", F.size("tokens").alias("n"), F.concat("tokens", "nulls").alias("every")), "every")
-    return rows.select("doc_id", "base", F.slice("every", 1, F.col("n")).alias("cands"), F.slice("every", F.col("n") + 1, F.size("every")).alias("nulls"))
+    rows = apart(rows.select("doc_id", F.array_sort(F.concat(kind(0), kind(1), kind(2))).alias("base"), "tokens"))
+    return _judge(rows.select("doc_id", "base", F.col("tokens").alias("cands")), "cands")
 
 
-def _cells(found: DataFrame, column: str) -> DataFrame:
-    return found.select(F.explode(column).alias("c")).groupBy("c.class", "c.cell").agg(F.count("*").alias("n"))
+def _cells(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("class", "cell").agg(F.count("*").alias("n"))
 
 
-def _cuts(found: DataFrame) -> dict[int, int]:
+def _cuts(docs: DataFrame, found: DataFrame) -> dict[int, int]:
     """Last reported cell of each class by the step-up rule over all candidates: the largest p with ``p <= LEVEL * rank / all``."""
     lengths = len(LENGTHS) + 1
-    null = materialize(_cells(found, "nulls"))
-    have = materialize(_cells(found, "cands"))
+    null = materialize(_cells(_judge(_null_tokens(docs))))
+    have = materialize(_cells(found.select(F.inline("cands"))))
     # a row for each cell of candidates, at most classes times cells: against the null of its class, its encoding, or the corpus
     of = have.withColumnRenamed("n", "mine")
     near = of.alias("h").join(F.broadcast(null.alias("z").select(F.col("class").alias("zc"), F.col("cell").alias("zz"), "n")), F.lit(True), "left")
@@ -237,7 +262,7 @@ def _cuts(found: DataFrame) -> dict[int, int]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts and digest of the base spans, and ``spans``: kind:start:end of all spans."""
     found = materialize(_found(docs))
-    cuts = _cuts(found)
+    cuts = _cuts(docs, found)
     names = F.array(*map(F.lit, KINDS))
     reported = lambda c: F.coalesce(*[F.when(c["class"] == k, c["cell"] <= cut) for k, cut in sorted(cuts.items())], F.lit(False))
     added = F.transform(F.filter("cands", reported), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))

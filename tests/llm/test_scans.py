@@ -232,6 +232,27 @@ def test_secret_rows_equal_brute_force_and_find_planted_keys(spark):
     assert sum(x.n_random for x in got.values() if x.doc_id < 10**7) <= 3
 
 
+def test_every_word_begins_a_null_token(spark):
+    r = random.Random(8)
+    words = [f"w{''.join(r.choice(secrets.LOWER) for _ in range(r.randint(1, 12)))}" if r.random() < 0.8 else str(r.randint(0, 10**6)) for _ in range(2 * secrets.PART + 40)]
+    texts = [" ".join(words), " ".join(words[: secrets.PART]), ", ".join(words[:3]), "", None, "naïve café " * 30]
+    got = Counter(x.s for x in secrets._null_tokens(spark.createDataFrame([(x, "s") for x in texts], "text string, s string")).collect())
+    assert got == Counter(x for t in texts for x in null_tokens(t or ""))
+    # only those that begin near the end of a text can be too short
+    assert sum(got.values()) >= sum(max(0, len(re.findall(r"[A-Za-z]{2,19}|[0-9]{1,19}", t or "")) - secrets.REACH) for t in texts)
+
+
+def test_null_takes_every_word_of_a_small_corpus(spark):
+    """300 words: one null token for each 64 of them would put every p at 1/6 or more, and report nothing."""
+    r = random.Random(5)
+    vocabulary = "the of and record tax over river bank statute paragraph committee hearing between without government morning twelve letters answer question".split()
+    key = "".join(r.choice(secrets.ENCODINGS[4][2]) for _ in range(40))
+    rows = [(1, " ".join(r.choice(vocabulary) for _ in range(300))), (2, f"see {key}.")]
+    got = {x.doc_id: x for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].spans, got[2].spans) == ("", "random:4:44")
+    assert {d: x.spans for d, x in got.items()} == all_secrets(rows)
+
+
 def test_secret_base_spans_over_hard_rows(spark, hard, hard_rows, empty):
     rows = [(3000, "token: \"abc\" password=secret:xxxxxxxxxxxx API_KEY = 'abcdefgh1' AKIAABCDEFGHIJKL AKIAABC " + "0123456789abcdef" * 3)]
     docs = hard.select("doc_id", "text", F.lit(1).alias("x"), F.lit(2).alias("base")).unionByName(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, x int, base int"))

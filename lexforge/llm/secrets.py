@@ -63,6 +63,8 @@ LENGTHS = (24, 32, 48, 80)
 NULL_LENGTHS = (20, 24, 28, 32, 40, 48, 64, 80)
 #: Cells for each unit of the score, and the last cell.
 CELLS, LAST = 4, 400
+#: Characters of the longest null token, the lower 32 bits, a one in each byte, and the Murmur3 of four zero bytes.
+MOST, MASK, ONES, NOTHING = max(NULL_LENGTHS), "4294967295L", "72340172838076673L", "933211791L"
 #: Elements that a running total copies at a time, and null tokens whose words go on together.
 PART = 256
 
@@ -122,10 +124,130 @@ def _chi_z(chi2: str, df: str) -> str:
     return f"(power(greatest({chi2}, 0D) / {df}, 1D / 3) - (1 - 2 / (9 * {df}))) / sqrt(2 / (9 * {df}))"
 
 
+def _apart_steps(df: DataFrame) -> DataFrame:
+    """``df`` with its next columns compiled as a method of their own: one operator without generated code in between, which moves no row.
+
+    The JVM never compiles a method of more than 8,000 bytes, and all neighbouring projections become one method.
+    """
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _unmix(u: str, steps: str) -> str:
+    """Steps that undo Murmur3 (``hash``, seed 42) of four bytes: it is a permutation of 32 bits, and the only compiled function that reads several characters into a number."""
+    inverse = lambda m: (pow(m, -1, 1 << 32) + (1 << 31)) % (1 << 32) - (1 << 31)  # noqa: E731  signed, so that no product leaves 64 bits
+    for step in steps:
+        u = {
+            "a": f"(({u} ^ ({u} >>> 16)) * {inverse(0xC2B2AE35)}L & {MASK})",
+            "b": f"(({u} ^ ({u} >>> 13) ^ ({u} >>> 26)) * {inverse(0x85EBCA6B)}L & {MASK})",
+            "c": f"((({u} ^ ({u} >>> 16) ^ 4L) - {0xE6546B64}L) * {inverse(5)}L & {MASK})",
+            "d": f"(((({u} >>> 13 | {u} << 19) & {MASK}) ^ 42L) * {inverse(0x1B873593)}L & {MASK})",
+            "e": f"((({u} >>> 15 | {u} << 17) & {MASK}) * {inverse(0xCC9E2D51)}L & {MASK})",
+        }[step]
+    return u
+
+
+def _sum(parts) -> str:
+    return "(" + " + ".join(parts) + ")"
+
+
+def _any(parts) -> str:
+    return "(" + " | ".join(parts) + ")"
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """What the tests need to know of ``s`` (a row for each token of ``MOST`` characters at most, without ``=``), counted by operations on bits, without a step over characters.
+
+    The text becomes words of 8 bytes; transposed, these become a bitmap for each of the 7 bits of a character (``a``: characters 1 to 64, ``b``: the rest), and
+    those a bitmap for each character: all counts are numbers of bits. Products of neighbours are taken byte by byte. ``_judge`` counts the same in lists of any length.
+    """
+    words = range(MOST // 8)
+    x, y = [f"x{k}" for k in words], [f"y{k}" for k in words]
+    step = lambda d, keep, **new: d.selectExpr(*keep, *[f"{v} AS {c}" for c, v in new.items()])
+    df = step(df, [], n="length(s)", s="if(length(s) % 4 = 0, s, rpad(s, {0}, '\\0'))".format(MOST))
+    df = step(_apart_steps(df), ["n"], **{f"s{k}": f"substring(s, {16 * k + 1}, 16)" for k in range(MOST // 16)})
+    quads = {f"u{k}": f"if(n > {4 * k}, CAST(hash(substring(s{k // 4}, {4 * (k % 4) + 1}, 4)) AS BIGINT) & {MASK}, {NOTHING})" for k in range(MOST // 4)}
+    df = _apart_steps(step(df, ["n"], **quads))
+    for steps in "abcde":
+        df = step(df, ["n"], **{u: _unmix(u, steps) for u in quads})
+        df = _apart_steps(df) if steps in "bd" else df
+    df = step(df, ["n"], **{f"x{k}": f"u{2 * k} | u{2 * k + 1} << 32" for k in words})
+    # - becomes + and _ becomes /
+    df = step(df, ["n"], **{c: f"{c} ^ (({c} >>> 2 & ~({c} >>> 1) & ~({c} >>> 4) & ~({c} >>> 6) & {ONES}) * 6) ^ (({c} >>> 6 & ~({c} >>> 5) & {c} >>> 4 & {c} >>> 3 & {c} >>> 2 & {ONES}) * 112)" for c in x})
+    df = _apart_steps(df)
+    # 8 by 8 bits change places
+    for i, (by, mask) in enumerate(((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0))):
+        df = step(df, ["n", *x], **{f"y{k}": f"{c} ^ (({c} ^ ({c} >>> {by})) & {mask}L) ^ ((({c} ^ ({c} >>> {by})) & {mask}L) << {by})" for k, c in zip(words, y if i else x)})
+    df = _apart_steps(df)
+    plane = lambda bit, ks: _any(f"(({y[k]} >>> {8 * bit} & 255L) << {8 * (k % 8)})" for k in ks)
+    df = step(df, ["n", *x], **{f"{w}{bit}": plane(bit, ks) for w, ks in (("a", words[:8]), ("b", words[8:])) for bit in range(7)})
+    # characters by their upper four bits (h) and their lower three (l)
+    bits = lambda w, number, over: "(" + " & ".join(("" if number >> (bit - min(over)) & 1 else "~") + f"{w}{bit}" for bit in over) + ")"
+    high, low = range(5, 16), range(8)
+    groups = {f"h{w}{i}": bits(w, i, range(3, 7)) for w in "ab" for i in high} | {f"l{w}{i}": bits(w, i, range(3)) for w in "ab" for i in low}
+    df = _apart_steps(step(df, ["n", *x], **groups))
+    of = lambda w, c: f"(h{w}{ord(c) >> 3} & l{w}{ord(c) & 7})"
+    many = lambda form: _sum(f"CAST(bit_count({form(w)}) AS DOUBLE)" for w in "ab")
+    whole = lambda *hs: lambda w: _any(f"h{w}{i}" for i in hs)
+    some = lambda chars: lambda w: _any(of(w, c) for c in chars)
+    number = lambda c: many(lambda w: of(w, c))
+    half = len(EVERY) // 2
+    df = step(df, ["n", *x, *groups], q=_sum(f"{number(c)} * {number(c)}" for c in EVERY[:half]))
+    df = _apart_steps(df)
+    df = step(df, ["n", *x, *groups], q="q + " + _sum(f"{number(c)} * {number(c)}" for c in EVERY[half:]))
+    df = _apart_steps(df)
+    df = step(
+        df, ["n", "q", *x], va=some(VOWELS)("a"), vb=some(VOWELS)("b"), ga=whole(7, 8, 12)("a"), gb=whole(7, 8, 12)("b"), va_=some("aeiou")("a"), vb_=some("aeiou")("b"),
+        nd=many(whole(6, 7)), nu=many(whole(8, 9, 10, 11)), nl=many(whole(12, 13, 14, 15)), other=many(whole(5)),
+        beyond_u=f"{many(whole(9, 10, 11))} + {number('G')}", beyond_l=f"{many(whole(13, 14, 15))} + {number('g')}", few=_sum(number(c) for c in "0189"),
+    )
+    df = step(
+        df, ["n", "q", "nd", "nu", "nl", *x, "va", "vb", "ga", "gb"], vl=many(lambda w: f"v{w}_"), vowels=many(lambda w: f"v{w}"),
+        e="CASE WHEN other > 0 THEN 5 WHEN nl + beyond_u = 0 OR nu + beyond_l = 0 THEN 0 WHEN nd = 0 AND (nu = 0 OR nl = 0) THEN 1 WHEN nl = 0 AND few = 0 THEN 2 WHEN nu = 0 OR nl = 0 THEN 3 ELSE 4 END",
+    )
+    df = _apart_steps(df)
+    folded = f"e IN ({', '.join(map(str, FOLDED))})"
+    pick = lambda values: "CASE e " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values[:-1])) + f" ELSE {values[-1]} END"
+    # what turns the lower bits of a digit (0 on), a capital and a small letter (1 on) into 48 and the value
+    shift = lambda c, first: pick([f"{48 + a.find(c) - first}L" if c in a else "0L" for *_, a in ENCODINGS])
+    digit = pick([f"{48 + a.find('2') - 2}L" if "2" in a else "0L" for *_, a in ENCODINGS])
+    df = step(
+        df, ["n", "e", "q", *x, "nd"], ma="if(e = 0, ga, va)", mb="if(e = 0, gb, vb)", oa="if(n > 63, -1L, ~(-1L << n))", ob="if(n > 64, ~(-1L << (n - 64)), 0L)",
+        vu=f"if({folded}, 0, vowels - vl)", cu=f"if({folded}, 0, nu - vowels + vl)", vl=f"if({folded}, vowels, vl)", cl=f"if({folded}, nu + nl - vowels, nl - vl)",
+        od=digit, ou=f"if({folded}, {shift('a', 1)}, {shift('A', 1)})", ol=shift("a", 1),
+    )
+    runs = lambda a, b: f"CAST(bit_count({a} & ~(({a} >>> 1) | ({b} << 63))) AS DOUBLE) + CAST(bit_count({b} & ~({b} >>> 1)) AS DOUBLE)"
+    value = lambda c: f"({c} & ((({c} >>> 5 & {c} >>> 4 & ~({c} >>> 6) & {ONES}) * 15) | (({c} >>> 6 & {ONES}) * 31))) + ({c} >>> 5 & {c} >>> 4 & ~({c} >>> 6) & {ONES}) * od + ({c} >>> 6 & ~({c} >>> 5) & {ONES}) * ou + ({c} >>> 6 & {c} >>> 5 & {ONES}) * ol + ({c} >>> 5 & ~({c} >>> 4) & ~({c} >>> 6) & {ONES}) * 110 + ({c} >>> 5 & ~({c} >>> 4) & ~({c} >>> 6) & {c} >>> 2 & {ONES})"
+    classes = ["nd", "vu", "cu", "vl", "cl"]
+    df = _apart_steps(df)
+    df = step(df, ["n", "e", "q", *classes, *x, "od", "ou", "ol"], high=many(lambda w: f"m{w}"), changes=f"{runs('ma', 'mb')} + {runs('(oa & ~ma)', '(ob & ~mb)')} - 1")
+    kept = ["n", "e", "q", *classes, "high", "changes"]
+    for now in (x[:5], x[5:]):
+        df = step(df, [*kept, *[c for c in x if c not in now], *(["od", "ou", "ol"] if now == x[:5] else [])], **{c: value(c) for c in now})
+        df = _apart_steps(df)
+    lane = lambda i: f"CAST({x[i // 8]} >>> {8 * (i % 8)} & 255L AS DOUBLE)"
+    df = step(df, [*kept, *x], square=_sum(f"{lane(i)} * {lane(i)}" for i in range(MOST)))
+    df = _apart_steps(df)
+    last = "(CASE CAST((n - 1) / 8 AS INT) " + " ".join(f"WHEN {k} THEN {c}" for k, c in zip(words, x)) + " END >>> (8 * ((n - 1) % 8)) & 255L)"
+    df = step(df, [*kept, "square", *x], next=_sum(f"{lane(i)} * {lane(i + 1)}" for i in range(MOST - 1)))
+    df = _apart_steps(df)
+    pairs = _sum(f"({c} & 71777214294589695L) + ({c} >>> 8 & 71777214294589695L)" for c in x)
+    df = step(df, [*kept, "square", "next"], ends=f"{lane(0)} + {last}", t=pairs)
+    sizes = [len(a) for *_, a in ENCODINGS]
+    shares = [[sum(z in c for z in a) / len(a) for c in CLASSES] for *_, a in ENCODINGS]
+    number = lambda c: f"CAST({c} AS DOUBLE)"
+    df = step(
+        df, ["e", *classes], n=number("n"), high="high", changes="changes", squares="q", square="square", next="next", ends="ends",
+        total=number("(t & 65535L) + (t >>> 16 & 65535L) + (t >>> 32 & 65535L) + (t >>> 48)"), k=pick([f"{k}D" for k in sizes]), df=pick([f"{sum(f > 0 for f in z) - 1}D" for z in shares]),
+        **{f"f{i}": pick([f"{z[i]!r}D" for z in shares]) for i in range(len(CLASSES))},
+    )
+    spread = " + ".join(f"if(f{i} > 0, power({c} - f{i} * n, 2D) / (f{i} * n), 0D)" for i, c in enumerate(classes))
+    return _apart_steps(step(df, "e n k df high changes squares total square next ends".split(), spread=spread))
+
+
 def _judge(df: DataFrame, column: str | None = None) -> DataFrame:
     """``column``, tokens (start, end, s), as (start, end, class, cell): class numbers encoding and length, cell is the score, the sum of -ln p over the four tests, on the grid.
 
-    Without ``column`` every row is a token ``s`` and becomes (class, cell) by the same steps over columns, which run as compiled code where no lambda is in them.
+    Without ``column`` every row is a null token ``s`` and becomes (class, cell): what the tests need is counted by ``_counted``, and the tests are the same steps over columns.
 
     A step of the tests is a step over the array of tokens. Written as one expression, what several tests share would be computed for each of them; bound by
     lambdas inside lambdas, the plan would take seconds to resolve.
@@ -139,46 +261,49 @@ def _judge(df: DataFrame, column: str | None = None) -> DataFrame:
         fields = [f"x.{c} AS {c}" for c in ("start", "end", *keep.split())] + [f"{v} AS {c}" for c, v in new.items()]
         df = df.withColumn(column, F.expr(f"transform({column}, x -> struct({', '.join(fields)}))"))
 
-    pick = lambda values: f"element_at(array({', '.join(values)}), x.e + 1)"
-    forms = " ".join(f"WHEN rlike(x.s, '{form}') THEN {i}" for i, (_, form, _) in enumerate(ENCODINGS[:-1]))
-    step("", s="rtrim('=', x.s)")
-    step("s", e=f"CASE {forms} ELSE {len(ENCODINGS) - 1} END", n="CAST(length(x.s) AS DOUBLE)")
-    sizes = [len(a) for *_, a in ENCODINGS]
-    shares = [[sum(y in c for y in a) / len(a) for c in CLASSES] for *_, a in ENCODINGS]
-    step("e n", s=f"CASE WHEN x.e IN ({', '.join(map(str, FOLDED))}) THEN lower(x.s) WHEN x.e = {len(ENCODINGS) - 1} THEN replace(replace(x.s, '-', '+'), '_', '/') ELSE x.s END")
-    line = " ".join(f"WHEN {i} THEN translate(x.s, '{a}', left('{VALUES}', {len(a)}))" for i, (*_, a) in enumerate(ENCODINGS))
-    high = "".join(str(int(c in HIGH)) for c in ENCODINGS[0][2])
-    step(
-        "e n",
-        k=pick([f"{k}D" for k in sizes]),
-        shares=pick([f"array({', '.join(f'{f!r}D' for f in x)})" for x in shares]),
-        df=pick([f"{sum(f > 0 for f in x) - 1}D" for x in shares]),
-        of=f"translate(x.s, '{EVERY}', '{CLASS_OF}')",
-        marked=f"if(x.e = 0, translate(x.s, '{ENCODINGS[0][2]}', '{high}'), translate(x.s, '{EVERY}', '{VOWEL_OF}'))",
-        line=f"CASE x.e {line} END",
-    )
-    without = lambda of, c: f"length(replace({of}, {c}, ''))"
-    part = lambda i: f"if(x.shares[{i}] > 0, power(x.n - {without('x.of', repr(str(i)))} - x.shares[{i}] * x.n, 2D) / (x.shares[{i}] * x.n), 0D)"
-    step(
-        "e n k df line",
-        spread=" + ".join(map(part, range(len(CLASSES)))),
-        high=f"x.n - {without('x.marked', repr('1'))}",
-        changes=f"(2 * x.n - {without('x.marked', repr('01'))} - {without('x.marked', repr('10'))}) / 2",
-        chars="split(x.line, '')",
-    )
-    step(
-        "e n k df spread high changes",
-        values="transform(x.chars, c -> CAST(ascii(c) AS DOUBLE))",
-        runs=r"transform(regexp_extract_all(array_join(sort_array(x.chars), ''), '(.)\\1*', 0), c -> CAST(length(c) AS DOUBLE))",
-    )
-    step(
-        "e n k df spread high changes",
-        squares="aggregate(x.runs, 0D, (b, y) -> b + y * y)",
-        total=_total("x.values"),
-        square="aggregate(x.values, 0D, (b, y) -> b + y * y)",
-        next=_pairs("x.values", "u * v"),
-        ends="x.values[0] + x.values[size(x.values) - 1]",
-    )
+    if column is None:
+        df = _counted(df)
+    else:
+        pick = lambda values: f"element_at(array({', '.join(values)}), x.e + 1)"
+        forms = " ".join(f"WHEN rlike(x.s, '{form}') THEN {i}" for i, (_, form, _) in enumerate(ENCODINGS[:-1]))
+        step("", s="rtrim('=', x.s)")
+        step("s", e=f"CASE {forms} ELSE {len(ENCODINGS) - 1} END", n="CAST(length(x.s) AS DOUBLE)")
+        sizes = [len(a) for *_, a in ENCODINGS]
+        shares = [[sum(y in c for y in a) / len(a) for c in CLASSES] for *_, a in ENCODINGS]
+        step("e n", s=f"CASE WHEN x.e IN ({', '.join(map(str, FOLDED))}) THEN lower(x.s) WHEN x.e = {len(ENCODINGS) - 1} THEN replace(replace(x.s, '-', '+'), '_', '/') ELSE x.s END")
+        line = " ".join(f"WHEN {i} THEN translate(x.s, '{a}', left('{VALUES}', {len(a)}))" for i, (*_, a) in enumerate(ENCODINGS))
+        high = "".join(str(int(c in HIGH)) for c in ENCODINGS[0][2])
+        step(
+            "e n",
+            k=pick([f"{k}D" for k in sizes]),
+            shares=pick([f"array({', '.join(f'{f!r}D' for f in x)})" for x in shares]),
+            df=pick([f"{sum(f > 0 for f in x) - 1}D" for x in shares]),
+            of=f"translate(x.s, '{EVERY}', '{CLASS_OF}')",
+            marked=f"if(x.e = 0, translate(x.s, '{ENCODINGS[0][2]}', '{high}'), translate(x.s, '{EVERY}', '{VOWEL_OF}'))",
+            line=f"CASE x.e {line} END",
+        )
+        without = lambda of, c: f"length(replace({of}, {c}, ''))"
+        part = lambda i: f"if(x.shares[{i}] > 0, power(x.n - {without('x.of', repr(str(i)))} - x.shares[{i}] * x.n, 2D) / (x.shares[{i}] * x.n), 0D)"
+        step(
+            "e n k df line",
+            spread=" + ".join(map(part, range(len(CLASSES)))),
+            high=f"x.n - {without('x.marked', repr('1'))}",
+            changes=f"(2 * x.n - {without('x.marked', repr('01'))} - {without('x.marked', repr('10'))}) / 2",
+            chars="split(x.line, '')",
+        )
+        step(
+            "e n k df spread high changes",
+            values="transform(x.chars, c -> CAST(ascii(c) AS DOUBLE))",
+            runs=r"transform(regexp_extract_all(array_join(sort_array(x.chars), ''), '(.)\\1*', 0), c -> CAST(length(c) AS DOUBLE))",
+        )
+        step(
+            "e n k df spread high changes",
+            squares="aggregate(x.runs, 0D, (b, y) -> b + y * y)",
+            total=_total("x.values"),
+            square="aggregate(x.values, 0D, (b, y) -> b + y * y)",
+            next=_pairs("x.values", "u * v"),
+            ends="x.values[0] + x.values[size(x.values) - 1]",
+        )
     step(
         "e n k df spread high changes squares",
         product="x.next - x.total / x.n * (2 * x.total - x.ends) + (x.n - 1) * power(x.total / x.n, 2D)",
@@ -207,24 +332,28 @@ def _null_tokens(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.regexp_extract_all(text_or_empty(), F.lit(word), F.lit(0)).alias("w"))
     # words go on in parts, with those that the last tokens of a part reach, dealt out to all tasks: the battery costs far more than moving them, and a long text is not one task's work
     starts = f"if(size(w) > 0, sequence(0, size(w) - 1, {PART * STRIDE}), CAST(array() AS ARRAY<INT>))"
-    rows = rows.select(F.size("w").alias("all"), F.explode(F.expr(f"transform({starts}, p -> struct(p AS p, slice(w, p + 1, {(PART - 1) * STRIDE + REACH}) AS w))")).alias("c"))
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select(F.size("w").alias("all"), F.explode(F.expr(f"transform({starts}, p -> struct(p AS p, array_join(slice(w, p + 1, {(PART - 1) * STRIDE + REACH}), ' ') AS c))")).alias("c"))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).selectExpr("all", "c.p AS first", "split(c.c, ' ') AS w")
+    # a slice of an array is compiled code outside lambdas only, where it does not copy the whole array
+    rows = _apart_steps(rows).selectExpr("all", "first", "w", f"explode(sequence(0, least({(PART - 1) * STRIDE}, all - 1 - first), {STRIDE})) AS at")
     # the kinds take turns, and begin at another one in every text
-    own = f"sequence(0, least({(PART - 1) * STRIDE}, all - 1 - c.p), {STRIDE})"
-    rows = rows.select("all", F.explode(F.expr(f"transform({own}, (p, j) -> struct(c.p + p AS p, j + CAST(c.p / {STRIDE} AS INT) + all AS j, array_join(slice(c.w, p + 1, {REACH}), ' ') AS x))")).alias("r"))
+    rows = rows.selectExpr("all", "first + at AS p", f"CAST((first + at) / {STRIDE} AS INT) + all AS j", f"slice(w, at + 1, {REACH}) AS x")
     styles = [
-        "lower(replace(x, ' ', ''))",
-        "replace(initcap(x), ' ', '')",
-        "lower(replace(x, ' ', '_'))",
-        "replace(x, ' ', '/')",
-        "upper(replace(x, ' ', ''))",
-        "lower(concat(replace(x, ' ', CAST(p AS STRING)), p))",
-        "replace(initcap(x), ' ', '-')",
-        "translate(sha2(x, 512), 'abcdef', '')",  # an arbitrary number
+        ("''", "lower(left(x, n))"),
+        ("' '", "left(replace(initcap(left(x, 2 * n)), ' ', ''), n)"),
+        ("'_'", "lower(left(x, n))"),
+        ("'/'", "left(x, n)"),
+        ("''", "upper(left(x, n))"),
+        ("CAST(p AS STRING)", "lower(left(concat(x, p), n))"),
+        ("' '", "replace(initcap(left(x, n)), ' ', '-')"),
+        ("' '", "left(translate(sha2(x, 512), 'abcdef', ''), n)"),  # an arbitrary number
     ]
-    kind = " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(styles))
+    turn = lambda i: " ".join(f"WHEN {k} THEN {v[i]}" for k, v in enumerate(styles))
     length = f"element_at(array({', '.join(map(str, NULL_LENGTHS))}), CAST((floor(j / {len(styles)}) + all) % {len(NULL_LENGTHS)} AS INT) + 1)"
-    return rows.selectExpr("all", "r.p", "r.j", "r.x").selectExpr(f"left(CASE j % {len(styles)} {kind} END, {length}) AS s").filter(f"length(s) >= {LEAST}")
+    rows = rows.selectExpr("p", f"j % {len(styles)} AS kind", f"{length} AS n", f"array_join(x, CASE j % {len(styles)} {turn(0)} END) AS x")
+    rows = _apart_steps(rows).selectExpr(f"CASE kind {turn(1)} END AS s")
+    # a filter would be moved below the choice of kinds, and make every token twice
+    return rows.selectExpr(f"explode(if(length(s) >= {LEAST}, array(s), CAST(array() AS ARRAY<STRING>))) AS s")
 
 
 def _found(docs: DataFrame) -> DataFrame:

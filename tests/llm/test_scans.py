@@ -242,6 +242,20 @@ def test_every_word_begins_a_null_token(spark):
     assert sum(got.values()) >= sum(max(0, len(re.findall(r"[A-Za-z]{2,19}|[0-9]{1,19}", t or "")) - secrets.REACH) for t in texts)
 
 
+def test_null_tokens_are_judged_by_bits_as_in_lists(spark):
+    """Counts by operations on bits (rows) and by steps over characters (lists) give the same class and cell, and no step over characters is left for rows."""
+    r = random.Random(21)
+    alphabets = [a for *_, a in secrets.ENCODINGS] + ["0123456789ABCDEF", secrets.UPPER, secrets.DIGITS + secrets.UPPER, secrets.UPPER + secrets.LOWER + secrets.DIGITS + "-_", secrets.LOWER + "_", secrets.DIGITS, "a", "aB", "_", "-/", "89", "01", "eE1"]
+    tokens = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in range(secrets.LEAST, secrets.MOST + 1)]
+    rows = secrets._judge(spark.createDataFrame([(x,) for x in tokens], "s string"))
+    lists = secrets._judge(spark.createDataFrame([([(0, len(x), x) for x in tokens],)], "c array<struct<start: int, end: int, s: string>>"), "c")
+    want = [(x["class"], x.cell) for x in lists.first().c]
+    assert Counter((x["class"], x.cell) for x in rows.collect()) == Counter(want)
+    assert sum(x != bare_score(t) for t, x in zip(tokens, want)) <= len(tokens) // 100  # a score may fall on a cell's edge
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"{x}(" in plan for x in ("lambdafunction", "translate", "split", "regexp_extract_all"))
+
+
 def test_null_takes_every_word_of_a_small_corpus(spark):
     """300 words: one null token for each 64 of them would put every p at 1/6 or more, and report nothing."""
     r = random.Random(5)

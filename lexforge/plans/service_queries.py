@@ -42,20 +42,18 @@ def scratch(spark) -> str:
 @C.add("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events")
 def stream_incremental(spark, sf_dir):
     """STR-01, STR-02: a drained file stream holds every row once."""
-    name = f"s{uuid.uuid4().hex}"
-    rows = streams.drain(stream_of(spark, sf_dir).select("event_id"), name, scratch(spark))
+    rows = streams.drain(stream_of(spark, sf_dir).select("event_id"), scratch(spark))
     return rows.agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
 
 
 @C.add("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Event-time windows; in complete mode no row is late."""
-    name = f"s{uuid.uuid4().hex}"
-    return streams.drain(streams.event_counts(stream_of(spark, sf_dir)), name, scratch(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return streams.drain(streams.event_counts(stream_of(spark, sf_dir)), scratch(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @C.add()
 def stream_rate_limit(spark, sf_dir):
     """STR-03: stateful, so checked by its properties: no window of a key runs more than its batch."""
     asked = stream_of(spark, sf_dir).select((F.col("user_id") % 20).alias("user_id"), "ts", (F.col("event_type") == "refund").alias("refused"))
-    return streams.drain(streams.limited(asked, "user_id", "ts"), f"s{uuid.uuid4().hex}", scratch(spark))
+    return streams.drain(streams.limited(asked, "user_id", "ts"), scratch(spark))

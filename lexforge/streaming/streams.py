@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexforge.sources.lists import exists
 from lexforge.sources.paged import BATCH, LEAST_BATCH, WINDOW
 
-
 def incremental(spark: SparkSession, source: str, schema: str, checkpoint: str, sink: Callable[[DataFrame, int], None], files: int = 64, fmt: str = "parquet") -> StreamingQuery:
     """STR-01, STR-02: process the files that are new since the last run, then stop; the checkpoint remembers the rest."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(source)
@@ -57,11 +57,16 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "30 minu
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, at: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it wrote: Parquet in the shared folder ``at``, so no row passes through the driver."""
+    spark, rows = df.sparkSession, f"{at}/rows"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(rows)
+    else:  # a table that each batch writes anew; files can only be appended to
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows)).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(rows) if exists(spark, rows) else spark.createDataFrame([], df.schema)
 
 
 class Durations(StreamingQueryListener):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexforge.sources.lists import exists
 from lexforge.sources.paged import BATCH, LEAST_BATCH, WINDOW
 
+#: Rows that the rate limiter hands on at once.
+ROWS = 50_000
+
+
 def incremental(spark: SparkSession, source: str, schema: str, checkpoint: str, sink: Callable[[DataFrame, int], None], files: int = 64, fmt: str = "parquet") -> StreamingQuery:
     """STR-01, STR-02: process the files that are new since the last run, then stop; the checkpoint remembers the rest."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(source)
@@ -29,22 +34,29 @@ def limited(requests: DataFrame, key: str, ts: str, size: int = BATCH, pause: fl
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened, used, limit, shift = state.get if state.exists else (0.0, 0, size, 0.0)
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        out = []
-        for at, refused in zip(rows[ts].astype("datetime64[us]").astype("int64") / 1e6, rows["refused"]):
-            now = max(at, shift)
-            if used and now - opened >= pause:
-                used = 0
-            if used >= limit:
-                now, used = opened + pause, 0
-            opened = now if used == 0 else opened
-            used += 1
-            if refused:
-                limit, used = max(LEAST_BATCH, limit - 1), 0
-            shift = now
-            out.append((name[0], at, now, limit))
+        # a key may have most rows of the stream, so rows are kept as numbers in arrays
+        asked, refusals = zip(*[(b[ts].to_numpy("datetime64[us]"), b["refused"].to_numpy(bool, na_value=False)) for b in batches])
+        asked, refusals = np.concatenate(asked), np.concatenate(refusals)
+        order = np.argsort(asked, kind="stable")
+        asked, refusals = asked[order].astype("int64") / 1e6, refusals[order]
+        for start in range(0, len(asked), ROWS):
+            part = slice(start, start + ROWS)
+            runs, limits = [], []
+            for at, refused in zip(asked[part].tolist(), refusals[part].tolist()):
+                now = max(at, shift)
+                if used and now - opened >= pause:
+                    used = 0
+                if used >= limit:
+                    now, used = opened + pause, 0
+                opened = now if used == 0 else opened
+                used += 1
+                if refused:
+                    limit, used = max(LEAST_BATCH, limit - 1), 0
+                shift = now
+                runs.append(now)
+                limits.append(limit)
+            yield pd.DataFrame({key: name[0], "asked": asked[part], "runs": runs, "batch": limits})
         state.update((opened, used, limit, shift))
-        yield pd.DataFrame(out, columns=[key, "asked", "runs", "batch"])
 
     kind = requests.schema[key].dataType.simpleString()
     grouped = requests.withWatermark(ts, watermark).groupBy(key)

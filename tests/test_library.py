@@ -184,6 +184,30 @@ def test_drained_rows_lie_in_files(spark, sf_dir):
         assert df.inputFiles() and df.count() > 0
 
 
+def test_limiter_carries_its_state_over_batches(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, i * 0.7 + rng.random() / 2, rng.random() < 0.05) for i in range(150) for k in (1, 2)]
+    parts, schema = [rows[:180], rows[180:]], "k long, at double, refused boolean"
+    for part in parts:
+        spark.createDataFrame(part, schema).selectExpr("k", "timestamp_micros(cast(round(at * 1e6) as bigint)) AS ts", "refused").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k long, ts timestamp, refused boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {(r.k, round(r.asked, 6)): (round(r.runs, 6), r.batch) for r in streams.drain(streams.limited(stream, "k", "ts", 9, 31.0), f"{tmp_path}/out").collect()}
+    want = {}
+    for k in (1, 2):
+        opened, used, limit, shift = 0.0, 0, 9, 0.0
+        for _, at, refused in (r for r in rows if r[0] == k):
+            now = max(round(at, 6), shift)
+            used = 0 if used and now - opened >= 31.0 else used
+            if used >= limit:
+                now, used = opened + 31.0, 0
+            opened, used = (now if used == 0 else opened), used + 1
+            if refused:
+                limit, used = max(paged.LEAST_BATCH, limit - 1), 0
+            shift = now
+            want[k, round(at, 6)] = (round(now, 6), limit)
+    assert got == want
+
+
 def test_incremental_runs(spark, tmp_path):
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
     sink = lambda df, _: df.write.mode("append").parquet(out)

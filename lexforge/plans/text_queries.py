@@ -231,7 +231,7 @@ def inherited_paths(spark, sf_dir):
 )
 def html_strip(spark, sf_dir):
     """HTM-01 over whole pages."""
-    x = texts(spark, sf_dir, "pages").select("page_id", structure.strip_html("html").alias("x"))
+    x = texts(spark, sf_dir, "pages").select("page_id", structure.strip_page("html").alias("x"))
     return x.select("page_id", F.sha2("x", 256).alias("digest"), F.size(F.split("x", X.PARAGRAPH)).cast("long").alias("n_blocks"))
 
 

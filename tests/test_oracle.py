@@ -38,6 +38,19 @@ def test_same_rows(spark, con, sf_dir, name):
     assert sorted(key([r[c] for c in sorted(df.columns)]) for r in df.collect()) == want
 
 
+def test_pages_are_stripped_as_their_sql_says(spark, con, tmp_path):
+    """References without semicolon, others than the SQL's, white space of all kinds, tags with letters beyond ASCII, nothing."""
+    pages = [
+        "<h1>token = &quot</h1>b &quot;c&quot; &amp;quot; &amp d &lt;e&gt; &nbsp; &#39; &copy &copy;", "<p>\ta\t</p>\u00a0b\u3000<br\x0b>c<br\f/>\r\n d \x85", "<lı>a</lı><lİ>b<pé>c<P\nx>d<DIV>e", "", "<p> </p>", None, "a\x1f\x1fb<li",
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    rows.write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [(r.page_id, r.digest, r.n_blocks) for r in catalog.queries()["html_strip"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == c.execute(f"SELECT page_id, digest, n_blocks FROM ({SQL['html_strip']}) ORDER BY page_id").fetchall()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "doc_id", "score", "rank"] and df.count() > 0

@@ -274,6 +274,41 @@ def test_dense_slices_agree(spark, monkeypatch):
     assert found() == whole and len(whole) == 45
 
 
+def test_dense_ties_are_those_of_sums_in_order(spark, tmp_path):
+    """Copies of vectors under other keys tie exactly, as in the query's SQL, whatever the task and the tile."""
+    import duckdb
+
+    from lexforge.plans import catalog
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 64)).astype(np.float32)
+    rows = [(i + 60 * copy, base[i].tolist(), i % 2) for copy in range(30) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(7).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("dense_topk", "dense_topk_filtered"):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(c.execute(f"SELECT query_id, rank, vec_id, score FROM ({catalog.oracle_sql()[name]})").fetchall())
+
+
+def test_dense_tiles_bound_a_workers_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    points, queries = rng.normal(size=(10_000, 8)), rng.normal(size=(3_000, 8))
+    batch = pa.RecordBatch.from_pydict({"vec_id": pa.array(np.arange(10_000)), "embedding": pa.array(list(points), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    found = list(retrieval._nearest(np.arange(3_000), queries, 5, "vec_id")(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 15_000 and peak < 80e6  # all scores at once are 240 MB
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.sort(np.argsort(-(unit(queries[:50]) @ unit(points).T), axis=1)[:, :5], axis=1)
+    assert np.sort(found[0].column("vec_id").to_numpy().reshape(-1, 5)[:50], axis=1).tolist() == want.tolist()
+
+
 def test_keyword_topk_equals_the_join(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc_ord"), "text")
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(8)

@@ -320,6 +320,49 @@ def test_keyword_topk_equals_the_join(spark, sf_dir, monkeypatch):
     assert retrieval.bm25_topk(docs.limit(0), queries, 7).count() == 0 and retrieval.bm25_topk(docs, queries.limit(0), 7).count() == 0
 
 
+def test_keyword_workers_hold_few_scores():
+    """Documents are scored in small parts: neither all scores of a batch nor its texts as Python strings are held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(50)]
+    r = random.Random(1)
+    texts = [" ".join(r.choices(words, k=8)) for _ in range(10_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(10_000)), "text": pa.array(texts)})
+    matrix = np.array([[float(r.random() < 0.05) for _ in range(2_000)] for _ in words])
+    leg = (matrix, np.ones(50), lambda tf, dl, values: values * tf / dl)
+    tracemalloc.start()
+    found = list(retrieval._score_documents(np.arange(2_000), {w: j for j, w in enumerate(words)}, [leg], 3, "doc_id", 6)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6  # all scores at once are 160 MB, their order as much again
+    rows = pa.Table.from_batches(found).to_pandas()
+    for q in (0, 1_999):
+        score = [sum(matrix[int(w[1:]), q] for w in t.split()) / 8 for t in texts]
+        want = sorted(range(10_000), key=lambda d: (-score[d], d))[:3]
+        assert rows[rows.query_id == q].doc_id.tolist() == want
+
+
+def test_fused_queries_read_both_legs_from_one_pass(spark, sf_dir):
+    from lexforge.plans import catalog
+
+    for name in ("wsum_fusion", "rrf_fusion", "ablation", "weight_sweep", "target_ranks"):
+        plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "NestedLoop" not in plan and "contains(" not in plan.lower() and plan.count("MapIn") <= (name == "target_ranks")
+
+
+def test_holders_of_texts_are_those_that_contain_them(spark, tmp_path):
+    from lexforge.plans import retrieval_queries as Q
+
+    items = ["a b c", "b", "", "x  y", "one two\nthree four", "ends here", " lead", "aa bb cc dd", None, "a b c"]
+    docs = ["a b c", "za b cz", "a  b c", "x  y", "zero one two\nthree four five", "it ends here.", " leading", "xaa bb cc ddx aa bb", None, "", "b" * 20]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((q, d) for q, i in enumerate(items) for d, t in enumerate(docs) if i is not None and t is not None and i in t)
+    assert sorted((r.query_id, r.doc_id) for r in Q.gold(spark, str(tmp_path)).collect()) == want
+
+
 def test_list_comparison(spark):
     t = "query_id long, rank int, pair string, score double"
     old = spark.createDataFrame([(q, i, f"p{i}", 1.0 - i / 10 if q != 3 else 0.5) for q in range(1, 6) for i in (1, 2)], t)

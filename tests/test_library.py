@@ -344,6 +344,15 @@ def test_keyword_workers_hold_few_scores():
         assert rows[rows.query_id == q].doc_id.tolist() == want
 
 
+def test_every_positive_score_equals_the_join(spark):
+    docs = [(1, "Vergi 123456 123457 vergiler"), (2, None), (3, ""), (4, "vergi İSTANBUL ışık 12345 12345a"), (5, "çok uzun vergilendirme \u212aira"), (None, "vergi kira"), (6, "başka şeyler")]
+    queries = [(1, "vergilendirme 123456"), (2, "12345 kira kira"), (3, ""), (4, None), (5, "Istanbul ışık")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    join = retrieval.bm25_scores(d, q, "doc_id").filter("doc_id IS NOT NULL AND score > 0")
+    rounded = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 6)) for r in df.collect())
+    assert rounded(retrieval.bm25_positive(d, q, "doc_id")) == rounded(join) != []
+
+
 def test_fused_queries_read_both_legs_from_one_pass(spark, sf_dir):
     from lexforge.plans import catalog
 

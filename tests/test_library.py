@@ -353,6 +353,22 @@ def test_every_positive_score_equals_the_join(spark):
     assert rounded(retrieval.bm25_positive(d, q, "doc_id")) == rounded(join) != []
 
 
+def test_rows_of_sparse_vectors_are_scored_without_a_join_on_tokens(spark):
+    r = random.Random(2)
+    rows = [(d, f"t{t}", r.random()) for d in range(80) for t in r.sample(range(20), 5)]
+    asked = [(q, f"t{t}", r.random()) for q in range(4) for t in r.sample(range(25), 6)]
+    points, queries = spark.createDataFrame(rows, "doc_ord long, token string, weight double"), spark.createDataFrame(asked, "query_id long, token string, weight double")
+    found = retrieval.sparse_topk(points, queries, 7)
+    score = {}
+    for q, t, w in asked:
+        for d, u, v in rows:
+            if t == u:
+                score[q, d] = score.get((q, d), 0.0) + v * w
+    want = {(q, d) for q in range(4) for d in sorted((d for p, d in score if p == q), key=lambda d: -score[q, d])[:7]}
+    assert {(x.query_id, x.doc_ord) for x in found.collect()} == want
+    assert "Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fused_queries_read_both_legs_from_one_pass(spark, sf_dir):
     from lexforge.plans import catalog
 

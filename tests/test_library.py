@@ -388,6 +388,13 @@ def test_holders_of_texts_are_those_that_contain_them(spark, tmp_path):
     assert sorted((r.query_id, r.doc_id) for r in Q.gold(spark, str(tmp_path)).collect()) == want
 
 
+def test_the_one_law_is_one_task(spark):
+    """Each task of the corpus build starts a worker for each of its functions, tasks without rows too."""
+    from lexforge.plans.structure_queries import build
+
+    assert "Repartition 1, false" in build(spark)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_list_comparison(spark):
     t = "query_id long, rank int, pair string, score double"
     old = spark.createDataFrame([(q, i, f"p{i}", 1.0 - i / 10 if q != 3 else 0.5) for q in range(1, 6) for i in (1, 2)], t)
